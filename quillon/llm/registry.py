@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import exact_dedup, line_dedup, secret_scan, sharding
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_sharding": sharding.op4_sharding,
+    "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op8_exact_dedup": exact_dedup.ORACLE,
 }
