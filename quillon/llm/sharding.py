@@ -48,42 +48,33 @@ def _key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
 
 
-def _draw(name: str, weight: float) -> Column:
+def _children(tree: Sequence[Shard]) -> Column:
+    """The tree as a constant map: each node's name to its children's names and weights."""
+    below: dict[str, dict[str, float]] = {}
+    for s in tree:
+        if s.weight > 0:
+            for node, child in (("root", s.region), (s.region, s.rack), (s.rack, f"shard{s.number}")):
+                level = below.setdefault(node, {})
+                level[child] = level.get(child, 0.0) + s.weight
+    pairs = [(F.lit(node), F.array(*[F.struct(F.lit(c).alias("name"), F.lit(float(w)).alias("weight")) for c, w in sorted(cs.items())])) for node, cs in below.items()]
+    return F.create_map(*[x for pair in pairs for x in pair])
+
+
+def _draw(child: Column) -> Column:
     """-ln(u) / weight, u in (0, 1) from the key and the child's name."""
-    digits = F.substring(F.md5(F.concat(_key(), F.lit("|" + name))), 1, DIGITS)
+    digits = F.substring(F.md5(F.concat(_key(), F.lit("|"), child["name"])), 1, DIGITS)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(16**DIGITS)
-    return -F.log(u) / F.lit(float(weight))
-
-
-def _winner(children: dict[str, tuple[float, Column]]) -> Column:
-    """The result of the child with the smallest draw, the first by name among equals."""
-    names = sorted(children)
-    if len(names) == 1:
-        return children[names[0]][1]
-    draws = F.array(*[F.struct(_draw(n, children[n][0]).alias("d"), F.lit(i).alias("i")) for i, n in enumerate(names)])
-    won = F.array_min(draws)["i"]
-    out = children[names[-1]][1]
-    for i, n in reversed(list(enumerate(names[:-1]))):
-        out = F.when(won == i, children[n][1]).otherwise(out)
-    return out
+    return -F.log(u) / child["weight"]
 
 
 def _descend(df: DataFrame, tree: Sequence[Shard], out: str) -> DataFrame:
-    """Adds column out, the shard's number. A level is a column of its own, so that a row draws only in its own subtree."""
-    weight = lambda some: sum(s.weight for s in some)
-    live = [s for s in tree if s.weight > 0]
-    regions = {g: [s for s in live if s.region == g] for g in {s.region for s in live}}
-    df = df.withColumn("_region", _winner({g: (weight(ss), F.lit(g)) for g, ss in regions.items()}))
-    rack: Column = F.lit(None).cast("string")
-    for g, ss in regions.items():
-        inside = {r: (weight(s for s in ss if s.rack == r), F.lit(r)) for r in {s.rack for s in ss}}
-        rack = F.when(F.col("_region") == g, _winner(inside)).otherwise(rack)
-    df = df.withColumn("_rack", rack)
-    shard: Column = F.lit(None).cast("int")
-    for r in sorted({s.rack for s in live}):
-        inside = {f"shard{s.number}": (s.weight, F.lit(s.number)) for s in live if s.rack == r}
-        shard = F.when(F.col("_rack") == r, _winner(inside)).otherwise(shard)
-    return df.withColumn(out, shard).drop("_region", "_rack")
+    """Adds column out, the shard's number: three levels, at each the smallest draw among the node's children."""
+    children = _children(tree)
+    df = df.withColumn("_node", F.lit("root"))
+    for _ in ("region", "rack", "shard"):
+        draws = F.transform(F.element_at(children, F.col("_node")), lambda c: F.struct(_draw(c).alias("draw"), c["name"].alias("name")))
+        df = df.withColumn("_node", F.array_min(draws)["name"])
+    return df.withColumn(out, F.substring("_node", len("shard") + 1, 10).cast("int")).drop("_node")
 
 
 def assign_shards(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard] | None = None) -> DataFrame:
