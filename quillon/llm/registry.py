@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, line_dedup, secret_scan, sharding, token_store
+from . import byte_bpe, exact_dedup, line_dedup, secret_scan, sharding, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_store": token_store.op2_token_store,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_sharding": sharding.op4_sharding,
+    "op7_warc": warc_convert.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
