@@ -324,4 +324,4 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = archive_pages(common.table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
