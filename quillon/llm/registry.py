@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, secret_scan, sharding, token_store, warc_convert
+from . import byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_token_store": token_store.op2_token_store,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_sharding": sharding.op4_sharding,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_language_id": language_id.op6_language_id,
     "op7_warc": warc_convert.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
