@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
+from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_warc": warc_convert.op7_warc,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
