@@ -18,9 +18,11 @@ response among equals; other columns are not read; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import posixpath
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bytes after which a new archive is begun.
-ROLL = 32 << 20
+#: Bytes after which a new archive is begun; effort of the compression; how a gzip member begins.
+ROLL, LEVEL, GZIP = 32 << 20, 3, b"\x1f\x8b"
 NO_ID = -(2**63)
 #: The record-line fields of the two ARC versions.
 ARC_FIELDS = {
@@ -69,15 +71,30 @@ def arc_record(version: int, url: str, date: str, body: bytes, offset: int, name
 
 
 class Source:
-    """Reads a file forward in blocks, with the offset of what comes next."""
+    """Reads a file forward in blocks, plain or of gzip members. Offsets are those of the plain bytes."""
 
-    def __init__(self, uri: str, block: int = 4 << 20):
+    def __init__(self, uri: str, block: int = 1 << 20):
         files, path = common.store(uri)
         self.src, self.block = files.open_input_stream(path), block
         self.held, self.at, self.offset = b"", 0, 0
+        self.packed = self.src.read(self.block)
+        self.gzip = zlib.decompressobj(31) if self.packed[:2] == GZIP else None
+
+    def _plain(self) -> bytes:
+        """The next bytes, none at the end."""
+        while True:
+            got, self.packed = self.packed or self.src.read(self.block), b""
+            if not got or self.gzip is None:
+                return got
+            if self.gzip.eof:
+                self.gzip = zlib.decompressobj(31)
+            out = self.gzip.decompress(got)
+            self.packed = self.gzip.unused_data
+            if out:
+                return out
 
     def _more(self) -> bool:
-        got = self.src.read(self.block)
+        got = self._plain()
         self.held, self.at = self.held[self.at :] + got, 0
         return bool(got)
 
@@ -162,7 +179,7 @@ def read_warc(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 class Roller:
-    """Writes records to files of about ROLL bytes, each under a name of its own; closed files are in `done`."""
+    """Writes each record as a gzip member, to files of about ROLL bytes under names of their own; `done` has those closed."""
 
     def __init__(self, root: str, suffix: str, opening: Callable[[str], bytes] = lambda name: b""):
         self.root, self.suffix, self.opening = root, suffix, opening
@@ -175,15 +192,19 @@ class Roller:
             files, path = common.store(f"{self.root}/{self.name}")
             files.create_dir(posixpath.dirname(path), recursive=True)
             self.out = files.open_output_stream(path)
-            head = self.opening(self.name)
-            self.out.write(head)
-            self.size, self.records = len(head), 0
-        return self.name, self.size
+            self.offset = self.size = self.records = 0
+            self._put(self.opening(self.name))
+        return self.name, self.offset
+
+    def _put(self, data: bytes) -> None:
+        packed = gzip.compress(data, LEVEL, mtime=0)
+        self.out.write(packed)
+        self.offset += len(data)
+        self.size += len(packed)
 
     def write(self, data: bytes) -> None:
         self.place()
-        self.out.write(data)
-        self.size += len(data)
+        self._put(data)
         self.records += 1
         if self.size >= ROLL:
             self.close()
@@ -200,7 +221,7 @@ def write_arcs(pages: DataFrame, root: str, date: str = "20200102030405") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         version = 1
-        roller = Roller(root, ".arc", lambda name: arc_version_block(name, version, date))
+        roller = Roller(root, ".arc.gz", lambda name: arc_version_block(name, version, date))
         for b in batches:
             for page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
@@ -252,7 +273,7 @@ def convert_arcs(decided: DataFrame, root: str) -> DataFrame:
     """Rewrites every archive named in `decided` as WARC. Returns file, records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roller = Roller(root, ".warc", lambda name: warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0)), ("WARC-Date", "2020-01-02T03:04:05Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: quillon\r\nformat: WARC File Format 1.1\r\n"))
+        roller = Roller(root, ".warc.gz", lambda name: warc_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name, 0)), ("WARC-Date", "2020-01-02T03:04:05Z"), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"software: quillon\r\nformat: WARC File Format 1.1\r\n"))
         file, fates = None, {}
 
         def convert() -> None:
