@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scalar as sc
 from quillon.operators import evidence as ev
-from quillon.operators import fitting, gates, ledger, profiles
+from quillon.operators import fitting, gates, imaging, ledger, profiles
 from quillon.operators import pixels as px
 from quillon.operators import stats
-from quillon.session import read_table
+from quillon.session import read_table, shared_folder
+from quillon.streaming import ledgers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -524,3 +525,55 @@ def css_variables(spark, sf):
 def tier_plan(spark, sf):
     rows = tiered_sources(spark, sf).select("source_id", "tier", F.col("useful_angles").cast("double").alias("max_tilt"), F.col("variant_confidence").alias("foil"), F.col("score").alias("metal"))
     return profiles.tier_plan(rows).select("source_id", "detail_tilt", "grid_tilt", r6("effective_foil", "effective_foil"), "plan")
+
+
+# ---- rasters in Python, one row each, and the streaming twin (no oracle: held against brute force in tests)
+
+@query()
+def band_energy(spark, sf):
+    bands = imaging.per_raster(imaging.band_energy, "array<double>", F.col("embedding"), 8)
+    return read_table(spark, sf, "embeddings").select("vec_id", F.transform(bands, lambda x: F.round(x, 6)).alias("bands"))
+
+
+@query()
+def structure_of_next(spark, sf):
+    """Structural similarity of each raster with the next of its label."""
+    e = read_table(spark, sf, "embeddings")
+    pairs = px.next_frames(e.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("grp")))
+    both = pairs.join(e.select(F.col("vec_id").alias("f"), F.col("embedding").alias("a")), "f").join(e.select(F.col("vec_id").alias("g"), F.col("embedding").alias("b")), "g")
+    return both.select("f", "g", F.round(imaging.per_pair(imaging.structure, "double", F.col("a"), F.col("b"), 8), 6).alias("structure"))
+
+
+@query()
+def bright_regions(spark, sf):
+    return imaging.glare(read_table(spark, sf, "embeddings"), "vec_id", "embedding", 8, 0.1, 3)
+
+
+@query()
+def rectified(spark, sf):
+    """Each raster's middle, warped to a 6 x 6 grid."""
+    quad = [(1, 1), (6, 0.5), (6.5, 6), (0.5, 6.5)]
+    got = imaging.per_raster(lambda img: imaging.warp(img, quad, 6, 6).ravel().tolist(), "array<double>", F.col("embedding"), 8)
+    return read_table(spark, sf, "embeddings").select("vec_id", F.transform(got, lambda x: F.round(x, 6)).alias("warped"))
+
+
+@query()
+def sharpness(spark, sf):
+    return read_table(spark, sf, "embeddings").select("vec_id", F.round(imaging.per_raster(imaging.laplacian_variance, "double", F.col("embedding"), 8), 6).alias("sharpness"))
+
+
+@query(ORACLE_SQL["current_state"])
+def current_state_stream(spark, sf):
+    """current_state, folded by a stream over the events."""
+    root = shared_folder(spark, "stream")
+    stream = ledgers.running_state(ledgers.event_stream(spark, sf, "events.parquet"), "user_id", "ts", "event_id", "event_type")
+    ledgers.drain(stream, f"{root}/out", f"{root}/checkpoint", "complete")
+    return spark.read.parquet(f"{root}/out").select("user_id", "state", "events")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_counts_stream(spark, sf):
+    root = shared_folder(spark, "stream")
+    stream = ledgers.windowed_counts(ledgers.event_stream(spark, sf, "events.parquet"), "ts", "event_type", "1 day", "30 days")
+    ledgers.drain(stream, f"{root}/out", f"{root}/checkpoint", "complete")
+    return spark.read.parquet(f"{root}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,3 +29,9 @@ def build_session(app: str = "quillon", cores: int | str = "*", partitions: int
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver tables as a DataFrame."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{base.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"

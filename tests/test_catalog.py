@@ -25,7 +25,7 @@ def plain(rows, names, order):
     return sorted(tuple(say(r[i]) for i in at) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, DATA)
     got = duck.execute(catalog.ORACLE_SQL[name])
