@@ -577,3 +577,6 @@ def windowed_counts_stream(spark, sf):
     stream = ledgers.windowed_counts(ledgers.event_stream(spark, sf, "events.parquet"), "ts", "event_type", "1 day", "30 days")
     ledgers.drain(stream, f"{root}/out", f"{root}/checkpoint", "complete")
     return spark.read.parquet(f"{root}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+from quillon.plans import catalog_more  # noqa: E402, F401  registers its queries
