@@ -261,3 +261,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORD
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_groups(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", "n_links", "copies")
+
+
+#: Compares every pair that shares an n-gram; for small tables.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS gram FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9 UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text AND x.doc_id <> y.doc_id),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, (SELECT min(b) FROM reach r WHERE r.a = d.doc_id) AS class_id, (SELECT count(*) FROM links l WHERE l.a = d.doc_id) AS n_links, count(*) OVER (PARTITION BY coalesce(d.text, '')) AS copies FROM documents d
+"""
