@@ -18,7 +18,9 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op4_sharding": sharding.ORACLE,
     "op5_ngram_join": ngram_join.ORACLE,
     "op7_warc": warc_convert.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op10_secret_scan": secret_scan.ORACLE,
 }

@@ -99,9 +99,14 @@ class Source:
         return bool(got)
 
     def read(self, size: int) -> bytes:
-        while len(self.held) - self.at < size:
-            if not self._more():
-                raise EOFError(f"{size} bytes were declared, {len(self.held) - self.at} are there")
+        parts, have = [self.held[self.at :]], len(self.held) - self.at
+        while have < size:
+            if not (got := self._plain()):
+                raise EOFError(f"{size} bytes were declared, {have} are there")
+            parts.append(got)
+            have += len(got)
+        if len(parts) > 1:
+            self.held, self.at = b"".join(parts), 0
         out = self.held[self.at : self.at + size]
         self.at += size
         self.offset += size
