@@ -8,8 +8,8 @@ so it takes rows only into itself; one added inside a rack also raises that rack
 only into those.
 
 Everything is DataFrame functions: no Python runs on the executors. Slots are numbered without one task for a shard:
-rows are ordered within (shard, bucket of the key's hash) and offsets come from the counts of those cells, whose number
-is shards x buckets, never of rows.
+rows go by ranges of doc_id to cells, are numbered within (shard, cell), and offsets come from the cells' counts. Slots
+follow doc_id in each shard, nulls first.
 
 Defined results: a null text has size 8 and the crc32 of no bytes (0); a null doc_id is a key of its own; rows that
 repeat a doc_id share a shard and take slots of their own; other columns are not read; an empty table gives no rows.
@@ -83,17 +83,49 @@ def assign_shards(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard]
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.encode(common.text_or_empty(), "UTF-8")).alias("text_crc32"))
     placed = _descend(rows, tree, "shard")
     placed = _descend(placed, grown, "grown_shard") if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
-    buckets = 4 * common.parallelism(spark)
-    placed = placed.withColumn("cell", F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit("slot|"), _key())), 1, 8), 16, 10).cast("long"), F.lit(buckets)))
-    placed = common.saved(placed, common.work_path(spark, "shards"))  # the counts and the rows come from one reading of the texts
+    at = common.work_path(spark, "shards")
+    placed = common.saved(placed, f"{at}/placed")  # each text is read once
+    ranged = placed.repartitionByRange(4 * common.parallelism(spark), F.col("doc_id").asc_nulls_first())
+    placed = common.saved(ranged.withColumn("cell", F.spark_partition_id()), f"{at}/ranged")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32")
     ranked = placed.withColumn("rank", F.row_number().over(inside) - 1)
-    # starts has at most shards x buckets rows, whatever the input: that bound is why it may be broadcast
+    # starts has at most shards x cells rows, whatever the input: that bound is why it may be broadcast
     return ranked.join(F.broadcast(starts), ["shard", "cell"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("rank")).alias("slot"), "grown_shard")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = assign_shards(common.table(spark, sf_dir, "documents"), even_tree(24), even_tree(25))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
+
+
+def _oracle(shards: int, grown: int) -> str:
+    """The same descent in SQL. crc32 is folded byte by byte with a table made by its rule."""
+
+    def descent(n: int, out: str) -> str:
+        tree = even_tree(n)
+        levels = {s.region: ("root", 0.0) for s in tree} | {s.rack: (s.region, 0.0) for s in tree} | {f"shard{s.number}": (s.rack, 0.0) for s in tree}
+        for s in tree:
+            for child in (s.region, s.rack, f"shard{s.number}"):
+                levels[child] = (levels[child][0], levels[child][1] + s.weight)
+        rows = ", ".join(f"('{node}', '{child}', {w}::DOUBLE)" for child, (node, w) in levels.items())
+        steps, last = [f"{out}_tree AS (SELECT * FROM (VALUES {rows}) t(node, child, weight))", f"{out}0 AS (SELECT DISTINCT doc_id, 'root' AS node FROM documents)"], f"{out}0"
+        for k in (1, 2, 3):
+            steps.append(f"{out}{k} AS (SELECT doc_id, arg_min(child, (-ln((('0x' || substr(md5(doc_id || '|' || child), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / weight, child)) AS node FROM {last} JOIN {out}_tree t USING (node) GROUP BY doc_id)")
+            last = f"{out}{k}"
+        return ", ".join(steps)
+
+    return f"""
+WITH tbl AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+{descent(shards, "now")}, {descent(grown, "later")},
+b AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+octets AS (SELECT doc_id, text, n, list_transform(range(n), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM b),
+c AS (SELECT doc_id, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS crc FROM octets, tbl)
+SELECT c.doc_id, n + 8 AS size, crc AS text_crc32, 'key' AS law, substr(now3.node, 6)::INT AS shard,
+  row_number() OVER (PARTITION BY now3.node ORDER BY c.doc_id) - 1 AS slot, substr(later3.node, 6)::INT AS grown_shard
+FROM c JOIN now3 USING (doc_id) JOIN later3 USING (doc_id)
+"""
+
+
+ORACLE = _oracle(24, 25)
