@@ -11,24 +11,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder made where the session names none: one for the process.
+_OWN: dict[str, str] = {}
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+    """A new path, with its scheme, in the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a temporary folder is made and set.
+    Only where the session names none, as in tests, a temporary folder is made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else _OWN.setdefault("base", base)
-        base = _OWN.get("base", base)
+        base = _OWN.setdefault("base", _OWN.get("base") or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)  # without a scheme, the cluster's own file system is meant
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"
 
 
-#: The folder made where the session names none: one for the process.
-_OWN: dict[str, str] = {}
-
-
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI, on the driver or in a task."""
     if uri.startswith("file:"):
