@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries, one database in each Python worker.
 
-A text is cut into words by the pattern; each word's bytes become rows (word, position, token). A recursive query joins
-neighbouring tokens with the merge table, and contracts in every word the leftmost pair of least rank, until no word has
-a pair left. The recursion is keyed by (word, position), so it holds one row a byte however many rounds a word needs.
+A text is cut into words by the pattern. In each round of a recursive query a word's tokens become rows (word, position,
+token, next token), those are joined with the merge table, and every word's leftmost pair of least rank is contracted,
+until no word has a pair left. The recursion is keyed by word, so it holds one row a word however many rounds it needs.
 Decoding joins the rows (text, position, token) with the vocabulary and aggregates the bytes in order of position.
 
 A piece of text that repeats is encoded once for each worker (pieces.py). A word of n bytes takes up to n - 1 rounds over
@@ -31,20 +31,18 @@ from . import common
 from .pieces import PieceTable, slices, split_pieces
 
 CONTRACT = """
-WITH RECURSIVE step(w, p, t) USING KEY (w, p) AS (
-  SELECT w, p, t FROM bytes_in
+WITH RECURSIVE step(w, ts) USING KEY (w) AS (
+  SELECT w, ts FROM words_in
   UNION ALL
-  SELECT w, p, CASE WHEN lag(hit = p, 1, false) OVER (PARTITION BY w ORDER BY p) THEN -1 WHEN hit = p THEN best ELSE t END
-  FROM (
-    SELECT w, p, t, least // 4294967296 AS best, least % 4294967296 AS hit
-    FROM (
-      SELECT a.w, a.p, a.t, min(g.m::BIGINT * 4294967296 + a.p) OVER (PARTITION BY a.w) AS least
-      FROM (SELECT w, p, t, lead(t) OVER (PARTITION BY w ORDER BY p) AS nt FROM step WHERE t >= 0) a
-      LEFT JOIN merges g ON g.l = a.t AND g.r = a.nt
-    ) WHERE least IS NOT NULL
-  )
+  SELECT step.w, list_concat(ts[:k - 1], [m::INT], ts[k + 2:])
+  FROM step JOIN (
+    SELECT w, min(g.m::BIGINT * 4294967296 + x.p) AS least, least // 4294967296 AS m, least % 4294967296 AS k
+    FROM (SELECT w, unnest(ts[:-2]) AS l, unnest(ts[2:]) AS r, generate_subscripts(ts[2:], 1) AS p FROM step WHERE len(ts) > 1) x
+    JOIN merges g ON g.l = x.l AND g.r = x.r
+    GROUP BY w
+  ) b ON b.w = step.w
 )
-SELECT w, t FROM step WHERE t >= 0 ORDER BY w, p
+SELECT w, ts FROM step ORDER BY w
 """
 DECODE = """
 SELECT d, string_agg(v.body, '' ORDER BY p) AS body
@@ -52,6 +50,10 @@ FROM (SELECT d, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM ids_in)
 """
 
 
+#: Pieces kept in a worker; words encoded and ids decoded by one query.
+MOST_PIECES, QUERY_WORDS, QUERY_IDS = 500_000, 50_000, 500_000
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as src:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, src)}
@@ -66,32 +68,32 @@ class Codec:
         self.size = len(ranks)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         merges = [(ranks[k[:i]], ranks[k[i:]], r) for k, r in ranks.items() for i in range(1, len(k)) if k[:i] in ranks and k[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": os.path.join(tempfile.gettempdir(), "duckdb")})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), "duckdb")})
         left, right, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._load("merges", pa.table({"l": left, "r": right, "m": made}))
         self._load("vocab", pa.table({"t": pa.array(ranks.values(), pa.int32()), "body": [k.hex() for k in ranks]}))
-        self.table = PieceTable(self.encode_pieces, np.uint16 if max(ranks.values()) < 2**16 else np.uint32)
+        self.table = PieceTable(self.encode_pieces, np.uint16 if max(ranks.values()) < 2**16 else np.uint32, MOST_PIECES)
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("rows_in", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
-    def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        word = np.repeat(np.arange(len(words), dtype=np.int32), lens)
-        pos = np.arange(len(word)) - np.repeat(np.cumsum(lens) - lens, lens)
-        tokens = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        self.db.register("bytes_in", pa.table({"w": word, "p": pos.astype(np.int32), "t": tokens}))
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
+        tokens = pa.ListArray.from_arrays(ends, pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
+        self.db.register("words_in", pa.table({"w": pa.array(range(len(words)), pa.int32()), "ts": tokens}))
         got = self.db.sql(CONTRACT).to_arrow_table()
-        self.db.unregister("bytes_in")
-        w, t = (got.column(c).to_numpy() for c in ("w", "t"))
-        return np.split(t, np.searchsorted(w, np.arange(1, len(words)))) if len(words) else []
+        self.db.unregister("words_in")
+        return got.column("ts").to_pylist()
 
     def encode_pieces(self, pieces: list[str]) -> list:
         cut = [self.words.findall(p) for p in pieces]
         distinct = list({w for ws in cut for w in ws})
-        ids = dict(zip(distinct, (x.tolist() for x in self.encode_words([w.encode() for w in distinct])), strict=True))
+        ids: dict[str, list[int]] = {}
+        for k in range(0, len(distinct), QUERY_WORDS):
+            own = distinct[k : k + QUERY_WORDS]
+            ids.update(zip(own, self.encode_words([w.encode() for w in own]), strict=True))
         return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
 
     def encode_run(self, texts: pa.Array) -> list[np.ndarray]:
@@ -123,28 +125,20 @@ def _codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Returns doc_id and ids (unsigned 32-bit little-endian, binary): one row for each row of docs."""
-
+def _encode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for b in batches:
             at = 0
-            for texts in slices(b.column("text").fill_null("")):
+            for texts in slices(b.column("text").fill_null(""), 2_000_000):
                 rows = [x.astype("<u4").tobytes() for x in codec.encode_run(texts)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(texts)), pa.array(rows, pa.binary())], ["doc_id", "ids"])
                 at += len(texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
+    return run
 
 
-#: Ids decoded by one query.
-DECODE_IDS = 1_500_000
-
-
-def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """From doc_id and ids to doc_id, ids and body, the decoded bytes."""
-
+def _decode(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for b in batches:
@@ -152,17 +146,33 @@ def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTE
             start = 0
             while start < len(lists):
                 end, total = start, 0
-                while end < len(lists) and (end == start or total + len(lists[end]) <= DECODE_IDS):
+                while end < len(lists) and (end == start or total + len(lists[end]) <= QUERY_IDS):
                     total += len(lists[end])
                     end += 1
                 bodies = codec.decode_run(lists[start:end])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(start, end - start), b.column("ids").slice(start, end - start), pa.array(bodies, pa.binary())], ["doc_id", "ids", "body"])
                 start = end
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, body binary")
+    return run
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Returns doc_id and ids (unsigned 32-bit little-endian, binary): one row for each row of docs."""
+    return docs.select("doc_id", "text").mapInArrow(_encode(path, pattern), "doc_id bigint, ids binary")
+
+
+def decode(encoded: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """From doc_id and ids to doc_id, ids and body, the decoded bytes."""
+    return encoded.select("doc_id", "ids").mapInArrow(_decode(path, pattern), "doc_id bigint, ids binary, body binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """decode(encode(docs)), both in one Python worker."""
+    first, then = _encode(path, pattern), _decode(path, pattern)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: then(first(batches)), "doc_id bigint, ids binary, body binary")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = decode(encode(common.table(spark, sf_dir, "documents"), path), path)
+    out = round_trip(common.table(spark, sf_dir, "documents"), path)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256"))
