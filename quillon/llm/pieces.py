@@ -20,8 +20,8 @@ MOST_PIECES, SLICE_BYTES = 1_000_000, 8_000_000
 class PieceTable:
     """piece -> ids, as slices of one flat array."""
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype=np.uint16):
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode: Callable[[list[str]], list], dtype=np.uint16, most: int = MOST_PIECES):
+        self.encode, self.dtype, self.most = encode, dtype, most
         self.clear()
 
     def clear(self) -> None:
@@ -32,7 +32,7 @@ class PieceTable:
     def slots(self, pieces: list[str]) -> np.ndarray:
         """The slot of each piece; new ones are encoded, all at once."""
         new = [p for p in pieces if p not in self.at]
-        if len(self.at) + len(new) > MOST_PIECES and self.at:
+        if len(self.at) + len(new) > self.most and self.at:
             self.clear()
             new = pieces
         if new:
@@ -60,13 +60,13 @@ class PieceTable:
         return self.ids[where], lens
 
 
-def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    """The texts in runs of about SLICE_BYTES; a longer text is a run of its own."""
+def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in runs of about `size` bytes; a longer text is a run of its own."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < len(texts):
         done = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, done + SLICE_BYTES)))
+        end = max(start + 1, int(np.searchsorted(sizes, done + size)))
         yield texts.slice(start, end - start)
         start = end
 
@@ -87,7 +87,7 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
     """Cuts texts before white space that follows something else, and between ASCII letters, digits and punctuation (but
     not after an apostrophe that a letter follows): no match of the tokenizers' word patterns crosses such a place.
 
-    fold: plain ASCII pieces are lower-cased. whole: texts that contain this string are not cut.
+    fold: plain ASCII pieces are lower-cased and white space becomes spaces. whole: texts that contain this string are not cut.
     Returns for each piece the number of its distinct piece, the distinct pieces, and for each text its number of pieces.
     """
     texts = texts.cast(pa.large_string())
@@ -110,6 +110,6 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
     if fold:
         plain = ~np.logical_or.reduceat(kind == 4, starts)
         upper = (data >= 65) & (data <= 90) & np.repeat(plain, np.diff(bounds))
-        data = data + (upper.view(np.uint8) << 5)
+        data = np.where(kind == 0, np.uint8(32), data + (upper.view(np.uint8) << 5))
     coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
