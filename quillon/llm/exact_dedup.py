@@ -7,7 +7,8 @@ hash and an ordinal). A text is then its recipe, the ordered list of its identif
 recipes are. Only hashes, digests and recipes are shuffled, a few bytes for each chunk: no text ever leaves its task.
 
 Defined results: a null text counts as empty and has the recipe of one empty chunk; a row with a null doc_id loses to
-any other of its group; of rows that repeat doc_id and text, all count and share keep_id, and exactly one stays; other columns are neither read nor returned; an empty table gives no rows.
+any other of its group; of rows that repeat doc_id and text, all count and share keep_id, and exactly one stays; other
+columns are neither read nor returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -108,6 +109,7 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     did = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
     recipes = recipes.withColumn("did", did)
     groups = recipes.groupBy("recipe").agg(F.max("did").alias("keep_id"), F.max_by("rid", "did").alias("keep_rid"), F.count("*").alias("group_size"))
+    groups = common.saved(groups, common.work_path(spark, "recipe-groups"))  # read again, so that the join can split a hot recipe
     keep_id = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
     return recipes.join(groups, "recipe").select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "sha", "rid")
 
@@ -117,10 +119,13 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
 
     Where doc_id is repeated or null, rows are told apart by doc_id and text, and one of several such rows stays.
     """
-    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("sha").alias("_keep_sha"))
-    body = docs.withColumn("_sha", F.unhex(F.sha2(common.text_or_empty(), 256)))
-    stays = body.join(groups, body["doc_id"].eqNullSafe(groups["_keep_id"]) & (body["_sha"] == groups["_keep_sha"]), "left_semi")
-    return stays.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    groups = exact_groups(docs)
+    kept = groups.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep_id"), F.col("sha").alias("_keep_sha"))
+    body = docs.withColumn("_sha", F.unhex(F.sha2(common.text_or_empty(), 256))).withColumn("_did", F.coalesce("doc_id", F.lit(NO_ID)))
+    stays = body.join(kept.hint("shuffle_hash"), (body["_did"] == kept["_keep_id"]) & (body["_sha"] == kept["_keep_sha"]), "left_semi")
+    if not groups.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # rows that repeat doc_id and text: one of them stays
+        stays = stays.dropDuplicates(["_did", "_sha"])
+    return stays.drop("_sha", "_did")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
