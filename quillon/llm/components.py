@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
     are not there.
 
     Alternates large-star and small-star steps until nothing changes. Both are groupings by node with a join back, so
-    hubs are pre-aggregated and their rows can be split; every round is written to the shared folder.
+    hubs are pre-aggregated; every step is written to the shared folder, so a join reads both its sides from there and can
+split a hub's rows.
     """
     spark, root = edges.sparkSession, common.work_path(edges.sparkSession, "components")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(2**40))).first())
@@ -21,10 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     was, step = mark(now), 0
     while was[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{root}/{step + 1}-least-large")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.saved(large, f"{root}/{step + 1}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = common.saved(large.groupBy("u").agg(F.min("v").alias("m")), f"{root}/{step + 1}-least-small")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
         step += 1
         now = common.saved(small.distinct(), f"{root}/{step}")
