@@ -85,7 +85,7 @@ def assign_shards(docs: DataFrame, tree: Sequence[Shard], grown: Sequence[Shard]
     placed = _descend(placed, grown, "grown_shard") if grown else placed.withColumn("grown_shard", F.lit(None).cast("int"))
     at = common.work_path(spark, "shards")
     placed = common.saved(placed, f"{at}/placed")  # each text is read once
-    ranged = placed.repartitionByRange(4 * common.parallelism(spark), F.col("doc_id").asc_nulls_first())
+    ranged = placed.repartitionByRange(common.parallelism(spark), F.col("doc_id").asc_nulls_first())
     placed = common.saved(ranged.withColumn("cell", F.spark_partition_id()), f"{at}/ranged")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
