@@ -5,7 +5,9 @@ random bit of (j, word). Sequences at a small edit distance fall back into step,
 edit distance becomes Hamming distance. A table of the index is one random walk with a few sampled steps, and its key is
 the words emitted at those steps (bit-sampling LSH). Items are indexed by size class, windows have their items' size, and
 tables are added until passages of the class's own items with the greatest number of edits are found with the target recall,
-measured when the index is built. Candidates are verified by exact edit distance.
+measured over all of them when the index is built. A class that cannot get there with MOST_TABLES tables of its own, or
+within TABLE_BYTES, is looked up by exact seeds instead: an item with k edits keeps one of k + 1 pieces whole, so all are found.
+Candidates are verified by exact edit distance.
 
 A window starts at every STRIDE-th word of a document; an item is indexed from each of its first STRIDE words, so a passage
 wherever it begins has a window that starts at one of them: unedited passages are always found. Items of fewer than
@@ -33,6 +35,8 @@ from . import common
 from .ngram_join import mix, word_hashes
 
 STRIDE, SHORT, SAMPLES, CLASSES, MOST_TABLES, BLOCK_ITEMS = 4, 10, 4, 4096, 64, 5000
+#: The walks of one class have at most so many bytes; a seed has at most so many words; a class is judged after FEWEST tables.
+TABLE_BYTES, SEED_WORDS, FEWEST = 64 << 20, 8, 8
 #: Words of documents handled at once.
 RUN_WORDS = 400_000
 SCALE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -122,6 +126,7 @@ class Index:
         self.most = [int(max_error * len(w)) if len(w) >= SHORT else 0 for w in self.words]
         self.tables: list[Table] = []
         self.whole: dict[int, dict[int, list[int]]] = {}  # short items: length -> hash -> items
+        self.seeds: dict[int, list[tuple[int, int, int]]] = {}  # seed length -> (hash, item, first word)
         self.recalls: dict[int, float] = {}
         sizes: dict[int, list[int]] = {}
         for k, w in enumerate(self.words):
@@ -132,19 +137,27 @@ class Index:
         rng = np.random.default_rng(seed)
         for least, members in sorted(sizes.items()):
             self._add_class(least, members, recall, rng)
+        self.pieces = {n: (np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64)) for n, rows in ((n, sorted(r)) for n, r in self.seeds.items())}
         self.pad = 2 + max([int(t.at[-1]) for t in self.tables], default=0)
 
     def _add_class(self, least: int, members: list[int], recall: float, rng: np.random.Generator) -> None:
-        """Tables for the items of least .. 2 least - 1 words, until enough edited passages are found."""
+        """Tables for the items of least .. 2 least - 1 words, until enough edited passages of all of them are found, or seeds."""
         steps = max(SAMPLES, int(1.5 * (least - STRIDE)))
-        trials = [self._edited(self.words[k], self.most[k], rng) for k in [members[i % len(members)] for i in range(max(200, len(members)))][:400]]
-        owners = [members[i % len(members)] for i in range(max(200, len(members)))][:400]
-        lost = list(range(len(trials)))
-        while True:
+        most = min(MOST_TABLES, TABLE_BYTES // (steps * CLASSES))
+        owners = [members[i % len(members)] for i in range(max(200, len(members)))]
+        trials = [self._edited(self.words[k], self.most[k], rng) for k in owners]
+        lost, made = list(range(len(trials))), []
+        while lost and len(lost) / len(trials) > 1 - recall:
+            # losses fall ever more slowly: at this pace, the last table would not bring the recall
+            hopeless = len(made) >= FEWEST and (len(lost) / len(trials)) ** (most / len(made)) > 1 - recall
+            if len(made) >= most or hopeless:
+                self._add_seeds(members)
+                self.recalls[least] = 1.0
+                return
             at = np.sort(rng.choice(steps, SAMPLES, replace=False))
             table = Table(rng.integers(0, 2, (int(at[-1]) + 1, CLASSES), dtype=np.int64).astype(np.int8), at)
             table.fill([(k, self.words[k]) for k in members])
-            self.tables.append(table)
+            made.append(table)
             still = []
             for t in lost:
                 text = np.concatenate([trials[t], np.zeros(int(at[-1]) + 2, np.uint64)])
@@ -152,10 +165,29 @@ class Index:
                 if not any(k == owners[t] for k, _ in table.candidates(text, (text % np.uint64(CLASSES)).astype(np.int64), starts)):
                     still.append(t)
             lost = still
-            self.recalls[least] = 1 - len(lost) / len(trials)
-            made = sum(1 for x in self.tables if x.at[-1] < steps)
-            if self.recalls[least] >= recall or made >= MOST_TABLES:
-                return
+        self.tables += made
+        self.recalls[least] = 1 - len(lost) / len(trials)
+
+    def _add_seeds(self, members: list[int]) -> None:
+        """The first words of most + 1 pieces of each item: one piece has no edit."""
+        for k in members:
+            size = len(self.words[k]) // (self.most[k] + 1)
+            if not size:
+                raise ValueError("as many edits as words")
+            n = min(size, SEED_WORDS)
+            for o in range(0, size * (self.most[k] + 1), size):
+                self.seeds.setdefault(n, []).append((int(_sequence(self.words[k][o : o + n])), k, o))
+
+    def _seeded(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, where it would begin) for the places of words that hold a seed."""
+        for n, (keys, owners) in self.pieces.items():
+            if len(words) < n:
+                continue
+            grams = _sequence(np.lib.stride_tricks.sliding_window_view(words, n))
+            low, high = np.searchsorted(keys, grams), np.searchsorted(keys, grams, side="right")
+            for p in np.flatnonzero(low < high):
+                for k, o in owners[low[p] : high[p]]:
+                    yield int(k), int(p - o)
 
     def _edited(self, words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
         """The words with so many random substitutions, insertions and deletions, some strange words before and after."""
@@ -172,6 +204,14 @@ class Index:
         around = rng.integers(1, 2**62, 10).tolist()
         return np.array([*around[:5], *out, *around[5:]], np.uint64)
 
+    def _joined(self, places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, first, last) for sorted places (row, item, where it would begin): those of one passage are one."""
+        at = 0
+        for i, (r, k, begin) in enumerate(places):
+            if i + 1 == len(places) or places[i + 1][:2] != (r, k) or places[i + 1][2] - begin > self.most[k]:
+                yield r, k, places[at][2], begin
+                at = i + 1
+
     def find(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, edit distance, first word) for the best place of each item in each text that has it."""
         run: list[tuple[int, np.ndarray]] = []
@@ -195,17 +235,17 @@ class Index:
         seen: set[tuple[int, int]] = set()
         for table in self.tables:
             seen.update(table.candidates(words, kinds, starts))
+        seen.update(self._seeded(words))
         best: dict[tuple[int, int], tuple[int, int]] = {}
 
         def note(row: int, k: int, distance: int, at: int) -> None:
             best[row, k] = min(best.get((row, k), (1 << 30, 0)), (distance, at))
 
-        for k, begin in seen:
-            item, most = self.words[k], self.most[k]
-            r = int(np.searchsorted(heads, max(begin, 0), side="right")) - 1
-            own, off = run[r][1], int(begin - heads[r])
+        places = sorted((int(np.searchsorted(heads, max(begin, 0), side="right")) - 1, k, begin) for k, begin in seen)
+        for r, k, off, last in self._joined([(r, k, int(begin - heads[r])) for r, k, begin in places]):
+            item, most, own = self.words[k], self.most[k], run[r][1]
             low = max(0, off - most)
-            window = own[low : max(0, off) + len(item) + most]
+            window = own[low : max(0, last) + len(item) + most]
             if len(np.intersect1d(item, window)) < 0.5 * (len(np.unique(item)) - 2 * most):
                 continue  # each edit takes at most one distinct word away
             distance, end = edit_distance(item, window)
