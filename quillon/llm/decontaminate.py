@@ -91,8 +91,9 @@ class Table:
         self.keys = np.array([r[2] for r in rows], np.uint64)
         self.owners = np.array([r[3:] for r in rows], np.int64).reshape(-1, 2)
 
-    def candidates(self, words: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, where it would begin) for the windows at starts whose key some item has."""
+    def candidates(self, words: np.ndarray, kinds: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, where it would begin, the window's start) for the windows at starts whose key some item has. An item whose first
+        words are gone would begin before the text that the window is in."""
         if not len(self.keys):
             return
         pos, begun, key, j = starts, starts, np.zeros(1, np.uint64), 0
@@ -113,7 +114,7 @@ class Table:
         for w in np.flatnonzero(self.keys[low.clip(0, len(self.keys) - 1)] == key):
             k = low[w]
             while k < len(self.keys) and self.keys[k] == key[w]:
-                yield int(self.owners[k, 0]), int(begun[w] - self.owners[k, 1])
+                yield int(self.owners[k, 0]), int(begun[w] - self.owners[k, 1]), int(begun[w])
                 k += 1
 
 
@@ -145,7 +146,8 @@ class Index:
         steps = max(SAMPLES, int(1.5 * (least - STRIDE)))
         most = min(MOST_TABLES, TABLE_BYTES // (steps * CLASSES))
         owners = [members[i % len(members)] for i in range(max(200, len(members)))]
-        trials = [self._edited(self.words[k], self.most[k], rng) for k in owners]
+        around = [((5, 5), (0, 5), (5, 0), (5, 5))[i % 4] for i in range(len(owners))]  # in the midst, at the start and at the end of a text
+        trials = [self._edited(self.words[k], self.most[k], rng, *a) for k, a in zip(owners, around, strict=True)]
         lost, made = list(range(len(trials))), []
         while lost and len(lost) / len(trials) > 1 - recall:
             # losses fall ever more slowly: at this pace, the last table would not bring the recall
@@ -161,8 +163,9 @@ class Index:
             still = []
             for t in lost:
                 text = np.concatenate([trials[t], np.zeros(int(at[-1]) + 2, np.uint64)])
-                starts = np.arange(int(rng.integers(STRIDE)), len(trials[t]), STRIDE)
-                if not any(k == owners[t] for k, _ in table.candidates(text, (text % np.uint64(CLASSES)).astype(np.int64), starts)):
+                first = int(rng.integers(STRIDE)) if around[t][0] else 0
+                starts = np.arange(first, len(trials[t]), STRIDE)
+                if not any(k == owners[t] for k, *_ in table.candidates(text, (text % np.uint64(CLASSES)).astype(np.int64), starts)):
                     still.append(t)
             lost = still
         self.tables += made
@@ -178,8 +181,8 @@ class Index:
             for o in range(0, size * (self.most[k] + 1), size):
                 self.seeds.setdefault(n, []).append((int(_sequence(self.words[k][o : o + n])), k, o))
 
-    def _seeded(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item, where it would begin) for the places of words that hold a seed."""
+    def _seeded(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, where it would begin, the seed's start) for the places of words that hold a seed."""
         for n, (keys, owners) in self.pieces.items():
             if len(words) < n:
                 continue
@@ -187,10 +190,10 @@ class Index:
             low, high = np.searchsorted(keys, grams), np.searchsorted(keys, grams, side="right")
             for p in np.flatnonzero(low < high):
                 for k, o in owners[low[p] : high[p]]:
-                    yield int(k), int(p - o)
+                    yield int(k), int(p - o), int(p)
 
-    def _edited(self, words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-        """The words with so many random substitutions, insertions and deletions, some strange words before and after."""
+    def _edited(self, words: np.ndarray, edits: int, rng: np.random.Generator, before: int = 5, after: int = 5) -> np.ndarray:
+        """The words with so many random substitutions, insertions and deletions, and so many strange words before and after."""
         out = words.tolist()
         for _ in range(edits):
             i, kind = int(rng.integers(len(out))), int(rng.integers(3))
@@ -201,8 +204,8 @@ class Index:
                 out.insert(i, new)
             else:
                 del out[i]
-        around = rng.integers(1, 2**62, 10).tolist()
-        return np.array([*around[:5], *out, *around[5:]], np.uint64)
+        around = rng.integers(1, 2**62, before + after).tolist()
+        return np.array([*around[:before], *out, *around[before:]], np.uint64)
 
     def _joined(self, places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, first, last) for sorted places (row, item, where it would begin): those of one passage are one."""
@@ -232,7 +235,7 @@ class Index:
         heads = np.cumsum([0, *(len(w) + self.pad for _, w in run)])
         kinds = (words % np.uint64(CLASSES)).astype(np.int64)
         starts = np.concatenate([np.arange(h, h + len(w), STRIDE) for h, (_, w) in zip(heads, run, strict=False)])
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int]] = set()
         for table in self.tables:
             seen.update(table.candidates(words, kinds, starts))
         seen.update(self._seeded(words))
@@ -241,8 +244,10 @@ class Index:
         def note(row: int, k: int, distance: int, at: int) -> None:
             best[row, k] = min(best.get((row, k), (1 << 30, 0)), (distance, at))
 
-        places = sorted((int(np.searchsorted(heads, max(begin, 0), side="right")) - 1, k, begin) for k, begin in seen)
-        for r, k, off, last in self._joined([(r, k, int(begin - heads[r])) for r, k, begin in places]):
+        found = list(seen)
+        rows = (np.searchsorted(heads, [start for *_, start in found], side="right") - 1).tolist()
+        places = {(r, k, begin - int(heads[r])) for r, (k, begin, _) in zip(rows, found, strict=True)}
+        for r, k, off, last in self._joined(sorted(places)):
             item, most, own = self.words[k], self.most[k], run[r][1]
             low = max(0, off - most)
             window = own[low : max(0, last) + len(item) + most]
