@@ -14,7 +14,8 @@ ALL = (1 << 256) - 1
 class Automaton:
     """step[256 * state + byte] is the next state; accept[state] has bit r set where rule r has matched; state 0 starts.
 
-    In a search automaton a state with a match keeps all it matched (its rules stay set whatever follows). dead is the
+    In a search automaton a state with a match keeps the rules that matched first (they stay set whatever follows, and no
+    other rule is followed further: each segment with a match must be resolved for every rule). dead is the
     state from which nothing can match, or -1.
     """
 
@@ -150,7 +151,7 @@ def compile_rules(patterns: list[tuple[str, bool]], search: bool) -> Automaton:
             to = [x | y for x, y in zip(to, moves[low.bit_length() - 1], strict=True)]
         for target in to:
             got = had | matched(target) if search else 0
-            key = (0, got) if got else (target, 0)  # a segment with a match is looked at again: no more need be known
+            key = (0, got) if got else (target, 0)  # a segment with a match is looked at again for every rule: no more need be known
             if key not in number:
                 number[key] = len(order)
                 order.append(key)

@@ -3,7 +3,7 @@
 All rules are compiled into one minimised automaton (automaton.py), and every byte of every text passes through it once.
 Bytes that lead from every state back to the start, such as a line's end, cut a text into segments that cannot share a
 match, so many segments advance in step as arrays. Segments that accept some rule, few in any corpus, are then resolved
-to spans with the rules' own anchored automata: leftmost, longest, without overlap within a kind.
+to spans with the own anchored automata of every rule, since the scan stops at a segment's first match: leftmost, longest, without overlap within a kind.
 
 The base kinds are assign, access and hex; pem and jwt are further kinds. Base spans never depend on the further ones.
 
@@ -107,10 +107,9 @@ def scan_batch(s: Scanner, texts: pa.Array) -> dict[int, list[tuple[str, int, in
         row = int(np.searchsorted(offsets, starts[i], side="right")) - 1
         body = data[offsets[row] : ends[i]].tobytes()
         for k, rule in enumerate(s.rules):
-            if hit[i] >> k & 1 or rule.kind in BASE:
-                for a, b in _spans(s, k, body, int(starts[i] - offsets[row]), len(body)):
-                    at = len(body[:a].decode("utf-8", "replace"))
-                    out.setdefault(row, []).append((rule.kind, at, at + b - a))
+            for a, b in _spans(s, k, body, int(starts[i] - offsets[row]), len(body)):
+                at = len(body[:a].decode("utf-8", "replace"))
+                out.setdefault(row, []).append((rule.kind, at, at + b - a))
     rank = {r.kind: n for n, r in enumerate(s.rules)}
     for spans in out.values():
         spans.sort(key=lambda x: (x[1], rank[x[0]]))
