@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import byte_bpe, common, decontaminate, exact_dedup, language_id, ngram_join
+from quillon.llm import byte_bpe, common, decontaminate, exact_dedup, language_id, ngram_join, unicode_words
 
 #: A text whose likeliest language has a lower probability is rejected.
 LEAST_SCORE = 0.3
@@ -30,7 +30,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 or more, the one with the least doc_id stays."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, cut=unicode_words.word_hashes)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

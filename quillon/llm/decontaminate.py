@@ -15,7 +15,8 @@ SHORT words allow no edit and are looked up as a whole.
 
 Items are taken in blocks of BLOCK_ITEMS; an index goes to the tasks, and every block meets all documents.
 
-Defined results: words are lower-cased runs of letters and digits; null texts and items are empty, and an item without a
+Defined results: words are those of unicode_words.py (lower-cased runs of Unicode letters, marks and numbers; each
+character of a script written without spaces is a word); null texts and items are empty, and an item without a
 word is nowhere; a null item_id or doc_id is reported as null; rows that repeat are searched each; other columns are not
 read; empty tables give no rows.
 """
@@ -32,7 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .ngram_join import mix, word_hashes
+from .ngram_join import mix
+from .unicode_words import word_hashes
 
 STRIDE, SHORT, SAMPLES, CLASSES, MOST_TABLES, BLOCK_ITEMS = 4, 10, 4, 4096, 64, 5000
 #: The walks of one class have at most so many bytes; a seed has at most so many words; a class is judged after FEWEST tables.

@@ -1,7 +1,7 @@
 """N-gram Jaccard join by MinHash banding.
 
-A text's n-grams are its runs of five words (lower-cased runs of letters and digits; a text of fewer words has one, all of
-them), as 64-bit hashes. Texts that are equal form a class, of which one row works. Rows of the signature are the least
+A text's n-grams are its runs of five words (a text of fewer words has one, all of them), as 64-bit hashes. Words are lower-cased
+runs of ASCII letters, digits and all characters beyond ASCII, as the oracle SQL has them; the pipeline cuts by unicode_words.py. Texts that are equal form a class, of which one row works. Rows of the signature are the least
 values of the n-grams under random permutations of 32 bits. bands() chooses how many rows make a band and how many bands
 are needed, so that a pair at the threshold meets in some band with the target recall.
 
@@ -18,7 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -85,9 +85,9 @@ def word_hashes(text: str, block: int = 1 << 22) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def ngrams(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of the text's n-grams."""
-    w = word_hashes(text or "")
+def ngrams(text: str | None, words: int = WORDS, cut: Callable[[str], np.ndarray] = word_hashes) -> np.ndarray:
+    """The sorted distinct hashes of the text's n-grams. cut: gives the hashes of a text's words."""
+    w = cut(text or "")
     if not len(w):
         return w
     n = min(words, len(w))
@@ -117,13 +117,13 @@ class Signer:
         return out.view(np.int64)
 
 
-def _sign(rows: int, count: int, words: int):
+def _sign(rows: int, count: int, words: int, cut: Callable[[str], np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = Signer(rows, count)
         for b in batches:
             for part in range(0, b.num_rows, 1000):
                 own = b.slice(part, 1000)
-                sets = [ngrams(t, words) for t in own.column("text").to_pylist()]
+                sets = [ngrams(t, words, cut) for t in own.column("text").to_pylist()]
                 hashes = [sign(s) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0, *map(len, hashes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])))
@@ -175,7 +175,7 @@ def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _verify(threshold: float, words: int):
+def _verify(threshold: float, words: int, cut: Callable[[str], np.ndarray]):
     """Groups of rows (part, comp, low, high, block, rid, copies, text), sorted, to (rid, links, root)."""
 
     def solve(rows: dict[int, tuple[int, int, np.ndarray]], low: int, high: int) -> list[tuple[int, int, int]]:
@@ -199,7 +199,7 @@ def _verify(threshold: float, words: int):
                     out += solve(rows, key[1], key[2]) if rows else []
                     key, rows = (comp, low, high), {}
                 if rid not in rows:
-                    rows[rid] = (block, copies, ngrams(text, words))
+                    rows[rid] = (block, copies, ngrams(text, words, cut))
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["rid", "links", "root"])
                 out = []
@@ -209,7 +209,7 @@ def _verify(threshold: float, words: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.99999) -> DataFrame:
+def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.99999, cut: Callable[[str], np.ndarray] = word_hashes) -> DataFrame:
     """Returns for each row of docs: doc_id, class_id (the least doc_id of all it is linked with, directly or not), n_links
     (other rows with similarity of the threshold or more, equal texts among them), copies (rows with its text), tkey (md5
     of its text) and kept (true for the rows of one text of each class, that of the least doc_id)."""
@@ -218,7 +218,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     per_band, count = bands(threshold, recall)
     own = docs.select(F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("did"), common.text_or_empty().alias("text"))
     own = own.withColumn("tkey", F.unhex(F.md5("text")))
-    signed = own.mapInArrow(_sign(per_band, count, words), "did bigint, tkey binary, grams bigint, bands array<bigint>")
+    signed = own.mapInArrow(_sign(per_band, count, words, cut), "did bigint, tkey binary, grams bigint, bands array<bigint>")
     signed = common.saved(signed.withColumn("rid", F.monotonically_increasing_id()), f"{at}/signed")
     classes = common.saved(signed.groupBy("tkey").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("did").alias("lead")), f"{at}/classes")
 
@@ -237,7 +237,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     other = texts.select("comp", "block", "rid", "copies", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
     dealt = other.select("comp", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rid", "copies", "text")
     dealt = dealt.repartition(4 * common.parallelism(spark), "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
-    linked = common.saved(dealt.mapInArrow(_verify(threshold, words), "rid bigint, links bigint, root bigint"), f"{at}/linked")
+    linked = common.saved(dealt.mapInArrow(_verify(threshold, words, cut), "rid bigint, links bigint, root bigint"), f"{at}/linked")
 
     links = linked.groupBy("rid").agg(F.sum("links").alias("links"))
     final = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v")))
@@ -249,9 +249,9 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     return signed.select("did", "tkey").join(whole, "tkey").select(null_id("did").alias("doc_id"), null_id("class_id").alias("class_id"), "n_links", "copies", "tkey", "kept")
 
 
-def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, cut: Callable[[str], np.ndarray] = word_hashes) -> DataFrame:
     """The rows of docs without near copies: of each class, the rows of the text with the least doc_id. All columns stay."""
-    kept = jaccard_groups(docs, threshold, words).where("kept").select(F.col("tkey").alias("_near_key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_near_id"))
+    kept = jaccard_groups(docs, threshold, words, cut=cut).where("kept").select(F.col("tkey").alias("_near_key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_near_id"))
     least = kept.groupBy("_near_key").agg(F.min("_near_id").alias("_near_id"))
     body = docs.withColumn("_near_text", F.unhex(F.md5(common.text_or_empty()))).withColumn("_near_doc", F.coalesce("doc_id", F.lit(NO_ID)))
     same = (body["_near_text"] == least["_near_key"]) & (body["_near_doc"] == least["_near_id"])
