@@ -3,7 +3,8 @@
 Features are the 1- to 3-grams of a text's lower-cased characters, hashed to 2^bits slots; a value is (1 + log count) x
 idf, and a text's vector has length 1. Document frequencies are counted over every text that may be learned from. The
 weights are trained with follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties on a bounded sample,
-max_rows rows shared evenly by the languages and drawn by a hash of doc_id; a fifth of it is kept back and fits one
+max_rows rows shared evenly by the languages and drawn by a hash of doc_id and text, the least of each language, chosen on Spark (rows that repeat both
+are one); a fifth of it is kept back and fits one
 temperature, by which the logits are divided. Prediction reads whole texts.
 
 The driver holds the sample's sparse vectors (max_rows), the frequencies (2^bits) and the weights, none of which grows
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -147,9 +148,11 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
     """Learns from text and non-null lang of the rows of docs that are not held out."""
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     frequencies = own.select("text").mapInArrow(_frequencies(bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
-    per_lang = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    hashed = F.xxhash64("doc_id", "text")
+    # rows that repeat count once for the draw: however many there are, about 1.2 share distinct ones pass the limit
+    per_lang = {r.lang: r for r in own.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(hashed, 0.02).alias("distinct")).collect()}
     langs = sorted(per_lang)
-    total = sum(per_lang.values())
+    total = sum(r.n for r in per_lang.values())
     df = np.zeros(2**bits)
     for r in frequencies:
         df[r.slot] = r.n
@@ -157,11 +160,13 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
     if not langs:
         return Model([], idf, np.zeros((2**bits, 0)), np.zeros(0), bits)
     share = max(1, max_rows // len(langs))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
+    draw = F.pmod(hashed, F.lit(2**62))
     limit = F.lit(0)
-    for lang, n in per_lang.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(2**30 * min(1.0, 1.2 * share / n)))).otherwise(limit)
-    drawn = own.withColumn("draw", draw).where(F.col("draw") <= limit).select("lang", "draw", "text").mapInArrow(_sparse(bits), "lang string, draw bigint, slots binary, n binary").collect()
+    for lang, r in per_lang.items():
+        limit = F.when(F.col("lang") == lang, F.lit(int(2**62 * min(1.0, 1.2 * share / max(1, r.distinct))))).otherwise(limit)
+    once = own.withColumn("draw", draw).where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    drawn = once.withColumn("place", place).where(F.col("place") <= share).select("lang", "draw", "text").mapInArrow(_sparse(bits), "lang string, draw bigint, slots binary, n binary").collect()
     samples: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     for k, lang in enumerate(langs):
         for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.draw, r.slots))[:share]:
