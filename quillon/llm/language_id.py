@@ -149,7 +149,7 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     frequencies = own.select("text").mapInArrow(_frequencies(bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     hashed = F.xxhash64("doc_id", "text")
-    # rows that repeat count once for the draw: however many there are, about 1.2 share distinct ones pass the limit
+    # rows that repeat count once for the draw: however many there are, a little over share distinct ones pass the limit
     per_lang = {r.lang: r for r in own.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(hashed, 0.02).alias("distinct")).collect()}
     langs = sorted(per_lang)
     total = sum(r.n for r in per_lang.values())
@@ -163,7 +163,7 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
     draw = F.pmod(hashed, F.lit(2**62))
     limit = F.lit(0)
     for lang, r in per_lang.items():
-        limit = F.when(F.col("lang") == lang, F.lit(int(2**62 * min(1.0, 1.2 * share / max(1, r.distinct))))).otherwise(limit)
+        limit = F.when(F.col("lang") == lang, F.lit(int(2**62 * min(1.0, (1.2 * share + 6 * share**0.5) / max(1, r.distinct))))).otherwise(limit)
     once = own.withColumn("draw", draw).where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
     drawn = once.withColumn("place", place).where(F.col("place") <= share).select("lang", "draw", "text").mapInArrow(_sparse(bits), "lang string, draw bigint, slots binary, n binary").collect()
