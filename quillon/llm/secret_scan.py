@@ -2,8 +2,9 @@
 
 All rules are compiled into one minimised automaton (automaton.py), and every byte of every text passes through it once.
 Bytes that lead from every state back to the start, such as a line's end, cut a text into segments that cannot share a
-match, so many segments advance in step as arrays. Segments that accept some rule, few in any corpus, are then resolved
-to spans with the own anchored automata of every rule, since the scan stops at a segment's first match: leftmost, longest, without overlap within a kind.
+match, so many segments advance in step as arrays. Segments that accept some rule are then resolved to spans for every
+rule, since the scan stops at a segment's first match: leftmost, longest, without overlap within a kind. A second automaton
+of each rule reads such a segment from its end and marks where matches begin, so the time is linear in the text's length.
 
 The base kinds are assign, access and hex; pem and jwt are further kinds. Base spans never depend on the further ones.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .automaton import Automaton, compile_rules, longest, scan
+from .automaton import FEW, Automaton, beginnings, compile_rules, longest, longest_all, scan
 
 
 @dataclass(frozen=True)
@@ -60,31 +62,46 @@ class Scanner:
     quick: Automaton
     full: tuple[Automaton, ...]
     heads: tuple[Automaton, ...]
+    begin: tuple[Automaton, ...]
     rules: tuple[Rule, ...]
 
 
+@lru_cache(maxsize=4)
 def build(rules: tuple[Rule, ...] = RULES) -> Scanner:
     return Scanner(
         compile_rules([(r.quick(), r.fold) for r in rules], search=True),
         tuple(compile_rules([(r.full(), r.fold)], search=False) for r in rules),
         tuple(compile_rules([(r.head + r.tail, r.fold)], search=False) for r in rules),
+        tuple(compile_rules([(r.full(), r.fold)], search=False, marks=True) for r in rules),
         rules,
     )
 
 
-def _spans(s: Scanner, k: int, data: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
-    """Byte spans of rule k in a segment that holds some match."""
+def _spans(s: Scanner, k: int, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of rule k in the segments, in bytes. A pass from the end tells where matches begin, so no start is tried
+    in vain and each byte is looked at a bounded number of times."""
     rule, full, head = s.rules[k], s.full[k], s.heads[k]
-    opens = full.step[:256] != full.dead
-    i = start
-    while i < end:
-        if not opens[data[i]] or (stop := longest(full, data, i, end)) < 0:
-            i += 1
-            continue
-        body = longest(head, data, i, stop) if rule.head or rule.tail else i
-        if stop - body >= rule.least:
-            yield i, stop
-        i = stop
+    begins = beginnings(s.begin[k], data, starts, ends)
+    which = np.searchsorted(starts, begins, side="right") - 1
+    at = np.searchsorted(begins, starts)  # each segment's next match, all segments by turns
+    live = np.flatnonzero(np.bincount(which, minlength=len(starts)))
+    while len(live) >= FEW:
+        first = begins[at[live]]
+        stop = longest_all(full, data, first, ends[live])
+        tail = longest_all(head, data, first, stop) if rule.head or rule.tail else first
+        counts = stop - tail >= rule.least
+        yield from zip(first[counts].tolist(), stop[counts].tolist(), strict=True)
+        at[live] = np.searchsorted(begins, stop)
+        more = at[live] < len(begins)
+        live = live[more][which[at[live[more]]] == live[more]]
+    for i in live.tolist():
+        low, body, stop = int(starts[i]), data[starts[i] : ends[i]].tobytes(), 0
+        for p in begins[at[i] : np.searchsorted(begins, ends[i])].tolist():
+            if p - low >= stop:
+                stop = longest(full, body, p - low, len(body))
+                tail = longest(head, body, p - low, stop) if rule.head or rule.tail else p - low
+                if stop - tail >= rule.least:
+                    yield p, low + stop
 
 
 def scan_batch(s: Scanner, texts: pa.Array) -> dict[int, list[tuple[str, int, int]]]:
@@ -101,18 +118,17 @@ def scan_batch(s: Scanner, texts: pa.Array) -> dict[int, list[tuple[str, int, in
     ends = np.append(starts[1:], offsets[-1])
     wide = ends - starts >= min(len(r.tail) * (not r.head) * (r.tail == "AKIA") + r.least for r in s.rules)
     starts, ends = starts[wide], ends[wide]
-    hit = scan(s.quick, data, starts, ends)
+    hit = scan(s.quick, data, starts, ends) > 0
+    starts, ends = starts[hit], ends[hit]
+    spans = sorted((a, k, b) for k in range(len(s.rules)) for a, b in _spans(s, k, data, starts, ends))
     out: dict[int, list[tuple[str, int, int]]] = {}
-    for i in np.flatnonzero(hit):
-        row = int(np.searchsorted(offsets, starts[i], side="right")) - 1
-        body = data[offsets[row] : ends[i]].tobytes()
-        for k, rule in enumerate(s.rules):
-            for a, b in _spans(s, k, body, int(starts[i] - offsets[row]), len(body)):
-                at = len(body[:a].decode("utf-8", "replace"))
-                out.setdefault(row, []).append((rule.kind, at, at + b - a))
-    rank = {r.kind: n for n, r in enumerate(s.rules)}
-    for spans in out.values():
-        spans.sort(key=lambda x: (x[1], rank[x[0]]))
+    now, at, points = -1, 0, 0
+    for row, (a, k, b) in zip((np.searchsorted(offsets, [a for a, *_ in spans], side="right") - 1).tolist(), spans, strict=True):
+        if row != now:
+            now, at, points = row, int(offsets[row]), 0
+        points += int(np.count_nonzero((data[at:a] & 0xC0) != 0x80))  # code points since the last span
+        at = a
+        out.setdefault(row, []).append((s.rules[k].kind, points, points + b - a))
     return out
 
 
