@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import posixpath
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: The folder made where the session names none: one for the process.
 _OWN: dict[str, str] = {}
+#: Work folders of this driver that are still there; those that a returned DataFrame reads are removed when the driver ends.
+_LEFT: set[str] = set()
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -25,7 +28,15 @@ def work_path(spark: SparkSession, label: str) -> str:
         base = _OWN.setdefault("base", _OWN.get("base") or "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
     path = spark._jvm.org.apache.hadoop.fs.Path(base)  # without a scheme, the cluster's own file system is meant
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return f"{base.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}"
+    if not _LEFT:
+        atexit.register(_sweep)
+    _LEFT.add(uri := f"{base.rstrip('/')}/quillon-{label}-{uuid.uuid4().hex}")
+    return uri
+
+
+def _sweep() -> None:
+    for uri in list(_LEFT):
+        remove(uri)
 
 
 def store(uri: str) -> tuple[fs.FileSystem, str]:
@@ -55,11 +66,13 @@ def read_file(uri: str, start: int = 0, size: int | None = None) -> bytes:
         return src.read_at(size, start)
 
 
-def remove(uri: str) -> None:
-    """Deletes a work folder that nothing reads any more."""
-    files, path = store(uri)
-    if files.get_file_info(path).type == fs.FileType.Directory:
-        files.delete_dir(path)
+def remove(*uris: str) -> None:
+    """Deletes work folders that nothing reads any more."""
+    for uri in uris:
+        _LEFT.discard(uri)
+        files, path = store(uri)
+        if files.get_file_info(path).type == fs.FileType.Directory:
+            files.delete_dir(path)
 
 
 def saved(df: DataFrame, uri: str) -> DataFrame:
@@ -78,3 +91,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, label: str) -> str:
+    """label, with as many underscores after it as make it a name that no column of df has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while label.lower() in taken:
+        label += "_"
+    return label
+
+
+def join_split(many: DataFrame, one: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """many joined on key with one, which has one row for each key and in `weight` the number of many's rows with it.
+
+    Keys with more than a 4 x tasks-th of the whole weight are fewer than 4 x tasks, however large the input: their rows of
+    `one` are broadcast, so hot keys' rows of `many` stay where they are. All other keys meet by a shuffle. Both inputs are
+    read more than once: they should be written tables.
+    """
+    most = 4 * parallelism(many.sparkSession)
+    limit = (one.agg(F.sum(weight)).first()[0] or 0) / most
+    hot = one.where(F.col(weight) > limit)
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(weight) <= limit), key, how)
+    return many.join(F.broadcast(hot), key).unionByName(cold)

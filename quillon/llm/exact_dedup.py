@@ -92,13 +92,13 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
 
     hash_bits shortens the short hash, so that tests can meet collisions.
     """
-    spark = docs.sparkSession
+    at = common.work_path(docs.sparkSession, "exact-dedup")
     raw = docs.select("doc_id", "text").mapInArrow(_chunk_lists(hash_bits), "doc_id bigint, sha binary, shorts binary, digests binary")
-    rows = common.saved(raw.withColumn("rid", F.monotonically_increasing_id()), common.work_path(spark, "chunk-lists"))
+    rows = common.saved(raw.withColumn("rid", F.monotonically_increasing_id()), f"{at}/lists")
     # verified identifiers: one short hash with several digests gets an ordinal for each
     distinct = _occurrences(rows).groupBy("h", "digest").count()
     shared = distinct.groupBy("h").agg(F.count("*").alias("variants"), F.array_sort(F.collect_set("digest")).alias("of")).where("variants > 1")
-    collided = common.saved(shared.select("h", F.posexplode("of").alias("ordinal", "digest")), common.work_path(spark, "collided-chunks"))
+    collided = common.saved(shared.select("h", F.posexplode("of").alias("ordinal", "digest")), f"{at}/collided")
     if collided.isEmpty():
         recipes = rows.select("doc_id", "sha", "rid", F.col("shorts").alias("recipe"))
     else:
@@ -106,12 +106,12 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         ident = F.concat(F.hex("h"), F.lit("."), F.coalesce("ordinal", F.lit(0)))
         lists = known.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", ident.alias("id")))).alias("ids"))
         recipes = rows.select("doc_id", "sha", "rid").join(lists.select("rid", F.encode(F.array_join("ids.id", ","), "UTF-8").alias("recipe")), "rid")
-    did = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    recipes = recipes.withColumn("did", did)
+        recipes = common.saved(recipes, f"{at}/recipes")
+    recipes = recipes.withColumn("did", F.coalesce(F.col("doc_id"), F.lit(NO_ID)))
     groups = recipes.groupBy("recipe").agg(F.max("did").alias("keep_id"), F.max_by("rid", "did").alias("keep_rid"), F.count("*").alias("group_size"))
-    groups = common.saved(groups, common.work_path(spark, "recipe-groups"))  # read again, so that the join can split a hot recipe
+    groups = common.saved(groups, f"{at}/groups")
     keep_id = F.when(F.col("keep_id") != NO_ID, F.col("keep_id"))
-    return recipes.join(groups, "recipe").select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "sha", "rid")
+    return common.join_split(recipes, groups, "recipe", "group_size").select("doc_id", keep_id.alias("keep_id"), "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), "sha", "rid")
 
 
 def dedup_exact(docs: DataFrame) -> DataFrame:
@@ -120,12 +120,13 @@ def dedup_exact(docs: DataFrame) -> DataFrame:
     Where doc_id is repeated or null, rows are told apart by doc_id and text, and one of several such rows stays.
     """
     groups = exact_groups(docs)
-    kept = groups.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_keep_id"), F.col("sha").alias("_keep_sha"))
-    body = docs.withColumn("_sha", F.unhex(F.sha2(common.text_or_empty(), 256))).withColumn("_did", F.coalesce("doc_id", F.lit(NO_ID)))
-    stays = body.join(kept.hint("shuffle_hash"), (body["_did"] == kept["_keep_id"]) & (body["_sha"] == kept["_keep_sha"]), "left_semi")
+    sha, did = common.fresh(docs, "text_sha"), common.fresh(docs, "text_doc")
+    kept = groups.where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(did), F.col("sha").alias(sha))
+    body = docs.withColumn(sha, F.unhex(F.sha2(common.text_or_empty(), 256))).withColumn(did, F.coalesce("doc_id", F.lit(NO_ID)))
+    stays = body.join(kept.hint("shuffle_hash"), [did, sha], "left_semi")
     if not groups.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # rows that repeat doc_id and text: one of them stays
-        stays = stays.dropDuplicates(["_did", "_sha"])
-    return stays.drop("_sha", "_did")
+        stays = stays.dropDuplicates([did, sha])
+    return stays.drop(did, sha)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

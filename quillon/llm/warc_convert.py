@@ -10,7 +10,7 @@ Steps, each a Spark job that reads what the last one wrote in the shared folder:
 offset, digest); choose the responses by a grouping on digest; convert file by file; read the WARC files back.
 
 Defined results: a null html is an empty payload, and empty payloads are equal; a null url becomes urn:page:<page_id>;
-white space and control characters in a url are percent-encoded; a null page_id is written as "null", loses to all
+white space and control characters in a url are percent-encoded, and a url that looks like a version block's is a page's all the same; a null page_id is written as "null", loses to all
 others and is read back as null; rows that repeat a page_id are records of their own and the first archived one is the
 response among equals; other columns are not read; an empty table gives no rows.
 """
@@ -26,7 +26,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -131,7 +131,7 @@ def read_arc(uri: str) -> Iterator[tuple[int, dict[str, str], bytes]]:
         if not text:
             continue
         parts = text.split(" ")
-        if text.startswith("filedesc://"):
+        if offset == 0 and text.startswith("filedesc://"):  # later ones are records of pages with such a url
             about = src.read(int(parts[-1])).decode().split("\n")
             version = int(about[0].split(" ")[0])
             fields = tuple(about[1].split(" ")) if len(about) > 1 and about[1] else ARC_FIELDS[version]
@@ -264,13 +264,21 @@ def index_arcs(arcs: DataFrame) -> DataFrame:
     return arcs.select("file").mapInArrow(run, "file string, offset bigint, page_id bigint, sha1 string")
 
 
+def _place() -> Column:
+    return F.concat("file", F.lit("#"), F.lpad(F.col("offset").cast("string"), 15, "0"))
+
+
 def choose_responses(index: DataFrame) -> DataFrame:
-    """The index with is_response and refers_to (page_id, file, offset of the response): equal payloads have one response,
-    the record with the largest page_id, and of several such the one first by file and offset."""
-    own = index.withColumn("pid", F.coalesce(F.col("page_id"), F.lit(NO_ID))).withColumn("place", F.concat("file", F.lit("#"), F.lpad(F.col("offset").cast("string"), 15, "0")))
-    best = own.groupBy("sha1", "pid").agg(F.min("place").alias("place")).groupBy("sha1").agg(F.max(F.struct("pid", "place")).alias("best"))
-    best = common.saved(best, common.work_path(index.sparkSession, "responses"))
-    both = own.join(best, "sha1")
+    """sha1, best (pid, place) and records: equal payloads have one response, the record with the largest page_id, and of
+    several such the one first by file and offset."""
+    own = index.withColumn("pid", F.coalesce(F.col("page_id"), F.lit(NO_ID))).withColumn("place", _place())
+    best = own.groupBy("sha1", "pid").agg(F.min("place").alias("place"), F.count("*").alias("records"))
+    return best.groupBy("sha1").agg(F.max(F.struct("pid", "place")).alias("best"), F.sum("records").alias("records"))
+
+
+def decide(index: DataFrame, responses: DataFrame) -> DataFrame:
+    """The index with is_response, refers_to (the response's page_id) and response_place. Both inputs are written tables."""
+    both = common.join_split(index.withColumn("place", _place()), responses, "sha1", "records")
     return both.select("file", "offset", "sha1", (F.col("place") == F.col("best.place")).alias("is_response"), F.when(F.col("best.pid") != NO_ID, F.col("best.pid")).alias("refers_to"), F.col("best.place").alias("response_place"))
 
 
@@ -343,8 +351,9 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     spread = common.parallelism(spark)
     arcs = common.saved(write_arcs(pages, f"{root}/arc"), f"{root}/arc-files").repartition(spread)
     index = common.saved(index_arcs(arcs), f"{root}/index")
-    warcs = common.saved(convert_arcs(choose_responses(index), f"{root}/warc"), f"{root}/warc-files").repartition(spread)
-    common.remove(f"{root}/arc")
+    responses = common.saved(choose_responses(index), f"{root}/responses")
+    warcs = common.saved(convert_arcs(decide(index, responses), f"{root}/warc"), f"{root}/warc-files").repartition(spread)
+    common.remove(f"{root}/arc", f"{root}/arc-files", f"{root}/index", f"{root}/responses")
     return read_warcs(warcs)
 
 
