@@ -3,22 +3,27 @@
 Features are the 1- to 3-grams of a text's lower-cased characters, hashed to 2^bits slots; a value is (1 + log count) x
 idf, and a text's vector has length 1. Document frequencies are counted over every text that may be learned from. The
 weights are trained with follow-the-regularised-leader (FTRL-proximal) with L1 and L2 penalties on a bounded sample,
-max_rows rows shared evenly by the languages and drawn by a hash of doc_id and text, the least of each language, chosen on Spark (rows that repeat both
-are one); a fifth of it is kept back and fits one
+at most max_rows rows and max_entries vector entries, shared evenly by the languages and drawn by a hash of doc_id and text,
+the least of each language, chosen on Spark (rows that repeat both are one); a fifth of it is kept back and fits one
 temperature, by which the logits are divided. Prediction reads whole texts.
 
-The driver holds the sample's sparse vectors (max_rows), the frequencies (2^bits) and the weights, none of which grows
+The softmax is over the learned languages alone, so a text in none of them has a score like any other. `known` tells them
+apart: the share of a text's letters that the sample has in at least a hundredth of some language's texts.
+
+The driver holds the sample's sparse vectors (max_entries), the frequencies (2^bits) and the weights, none of which grows
 with the corpus; the weights go to the tasks.
 
 Defined results: a text that is null or has no letter is `und` with score 0; where nothing can be learned, every text is;
-a null doc_id is neither learned from nor held out; rows that repeat are predicted each; other columns are never read by a
-prediction; an empty table gives no rows.
+a null doc_id is neither learned from nor held out; rows that repeat are predicted each; of languages with equal scores the
+first in order of name is taken; other columns are never read by a prediction and stay as they are: where one has the name of
+a result, the result's name gets an underscore more; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +50,13 @@ class Model:
     bits: int
     temperature: float = 1.0
     report: dict = field(default_factory=dict)
+    letters: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint32))  # code points
+
+    def known(self, text: str | None) -> float:
+        """The share of the text's letters that were learned; 0 without a letter."""
+        c = _points(text or "")
+        c = c[_is_letter()[c]]
+        return float(np.isin(c, self.letters).mean()) if len(c) else 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs or not LETTER.search(text):
@@ -60,9 +72,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+@lru_cache(maxsize=1)
+def _is_letter() -> np.ndarray:
+    """For each code point, whether it is a letter."""
+    out = np.zeros(0x110000, bool)
+    out[[m.start() for m in LETTER.finditer("".join(map(chr, range(0x110000))))]] = True
+    return out
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def counts(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the text's character n-grams and how often each occurs."""
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _points(text)
     h = c * np.uint32(0x9E3779B1)
     grams = [h >> np.uint32(32 - bits)]
     for _ in range(2):
@@ -96,11 +120,19 @@ def _frequencies(bits: int):
     return run
 
 
+SPARSE = "lang string, draw bigint, size bigint, slots binary, n binary, letters binary"
+
+
 def _sparse(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            both = [counts(t, bits) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), pa.array([s.astype("<i4").tobytes() for s, _ in both], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in both], pa.binary())], ["lang", "draw", "slots", "n"])
+            rows = []
+            for t in b.column("text").to_pylist():
+                slots, n = counts(t, bits)
+                c = np.unique(_points(t))
+                rows.append((len(slots), slots.astype("<i4").tobytes(), n.astype("<i4").tobytes(), c[_is_letter()[c]].astype("<u4").tobytes()))
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("draw"), *made], ["lang", "draw", "size", "slots", "n", "letters"])
 
     return run
 
@@ -144,8 +176,9 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
-    """Learns from text and non-null lang of the rows of docs that are not held out."""
+def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000, max_entries: int = 8_000_000) -> Model:
+    """Learns from text and non-null lang of the rows of docs that are not held out. The sample has at most max_rows rows, and
+    those of a language at most max_entries / languages n-gram slots in all (or one row)."""
     own = docs.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
     frequencies = own.select("text").mapInArrow(_frequencies(bits), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     hashed = F.xxhash64("doc_id", "text")
@@ -166,7 +199,14 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
         limit = F.when(F.col("lang") == lang, F.lit(int(2**62 * min(1.0, (1.2 * share + 6 * share**0.5) / max(1, r.distinct))))).otherwise(limit)
     once = own.withColumn("draw", draw).where(F.col("draw") <= limit).groupBy("lang", "draw").agg(F.min("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
-    drawn = once.withColumn("place", place).where(F.col("place") <= share).select("lang", "draw", "text").mapInArrow(_sparse(bits), "lang string, draw bigint, slots binary, n binary").collect()
+    sparse = once.withColumn("place", place).where(F.col("place") <= share).select("lang", "draw", "text").mapInArrow(_sparse(bits), SPARSE)
+    so_far = F.sum("size").over(Window.partitionBy("lang").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0))
+    drawn = sparse.withColumn("so_far", so_far).where((F.col("so_far") <= max(max_entries // len(langs), 2**bits))).collect()
+    letters: list[np.ndarray] = []
+    for lang in langs:
+        own_letters = [np.frombuffer(r.letters, "<u4") for r in drawn if r.lang == lang]
+        points, held = np.unique(np.concatenate([np.zeros(0, np.uint32), *own_letters]), return_counts=True)
+        letters.append(points[held >= max(1, len(own_letters) / 100)])
     samples: list[tuple[int, np.ndarray, np.ndarray, int]] = []
     for k, lang in enumerate(langs):
         for r in sorted((r for r in drawn if r.lang == lang), key=lambda r: (r.draw, r.slots))[:share]:
@@ -178,25 +218,38 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000) -> Model:
     kept_back = rows[::5] if len(rows) >= 20 else []
     w, b = ftrl([r for i, r in enumerate(rows) if i % 5] if kept_back else rows, 2**bits, len(langs))
     logits, labels = np.array([v @ w[s] + b for s, v, _ in kept_back]), np.array([k for _, _, k in kept_back], int)
-    model = Model(langs, idf, w.astype(np.float32), b, bits, fit_temperature(logits, labels))
+    model = Model(langs, idf, w.astype(np.float32), b, bits, fit_temperature(logits, labels), letters=np.unique(np.concatenate(letters)))
     model.report = {"sampled": len(rows), "nonzero": float((w != 0).mean()), "temperature": model.temperature, "accuracy": float((logits.argmax(1) == labels).mean()) if len(labels) else None}
     return model
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; every other column stays as it is."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # 2^bits x languages: bounded by parameters
+def _guessed(docs: DataFrame, model: Model, name: str) -> DataFrame:
+    """docs with a column of that name: lang, score and known."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits x languages: bounded by parameters
 
-    @F.pandas_udf("struct<lang:string,score:double>")
+    @F.pandas_udf("struct<lang:string,score:double,known:double>")
     def guess(texts):
         import pandas as pd
 
         own = shared.value
-        return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([(*own.predict(t), own.known(t)) for t in texts], columns=["lang", "score", "known"])
+
+    return docs.withColumn(name, guess("text"))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score; every other column stays as it is."""
+    guess, lang, score = (common.fresh(docs, x) for x in ("guess_of_text", "lang_pred", "score"))
+    out = _guessed(docs, model, guess)
+    return out.withColumn(lang, F.col(guess)["lang"]).withColumn(score, F.col(guess)["score"]).drop(guess)
+
 
-    out = docs.withColumn("_guess", guess("text"))
-    return out.withColumn("lang_pred", F.col("_guess.lang")).withColumn("score", F.col("_guess.score")).drop("_guess")
+def recognised(docs: DataFrame, model: Model, least_score: float = 0.0, least_known: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has a likely language: a letter, at least that score, and at least that share of letters
+    that were learned. All columns stay."""
+    guess = common.fresh(docs, "guess_of_text")
+    own = F.col(guess)
+    return _guessed(docs, model, guess).where((own["lang"] != UNKNOWN) & (own["score"] >= least_score) & (own["known"] >= least_known)).drop(guess)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
