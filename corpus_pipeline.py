@@ -2,7 +2,12 @@
 
 Five stages, each of one operator: language ID, exact dedup, n-gram Jaccard join, benchmark decontamination, byte-level
 BPE. A stage takes (spark, docs, sf_dir); all but the last return rows of documents with all their columns. run() writes
-what a stage keeps as Parquet in the shared folder and reads it again for the next one.
+what a stage keeps as Parquet in the shared folder and reads it again for the next one, and then removes what came before.
+
+Defined results: a null or empty text has no letter and goes with the first stage, and so does every text where nothing can
+be learned; a null doc_id is a document like any other, the first to go among exact copies and the one that stays among near
+copies; rows that repeat are exact copies; extra columns stay as they are up to the last stage, whatever their names; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,14 +18,13 @@ from pyspark.sql import functions as F
 
 from quillon.llm import byte_bpe, common, decontaminate, exact_dedup, language_id, ngram_join, unicode_words
 
-#: A text whose likeliest language has a lower probability is rejected.
-LEAST_SCORE = 0.3
+#: A text whose likeliest language has a lower probability, or fewer of whose letters were learned, is rejected.
+LEAST_SCORE, LEAST_KNOWN = 0.3, 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts of no likely language."""
-    guessed = language_id.predict(docs, language_id.train(docs))
-    return guessed.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Rejects texts without a letter, of no likely language, or mostly of letters that no language learned from has."""
+    return language_id.recognised(docs, language_id.train(docs), LEAST_SCORE, LEAST_KNOWN)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +61,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.saved(stage(spark, docs, sf_dir), common.work_path(spark, f"stage-{name}"))
+        at = common.work_path(spark, f"stage-{name}")
+        docs = common.saved(stage(spark, docs, sf_dir), at)
+        if before:
+            common.remove(before)
+        before = at
     return docs
