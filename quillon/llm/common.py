@@ -108,10 +108,10 @@ def join_split(many: DataFrame, one: DataFrame, key: str, weight: str, how: str
     `one` are broadcast, so hot keys' rows of `many` stay where they are. All other keys meet by a shuffle. Both inputs are
     read more than once: they should be written tables.
     """
-    most = 4 * parallelism(many.sparkSession)
-    limit = (one.agg(F.sum(weight)).first()[0] or 0) / most
-    hot = one.where(F.col(weight) > limit)
-    if hot.isEmpty():
+    total, top = one.agg(F.sum(weight), F.max(weight)).first()
+    limit = (total or 0) / (4 * parallelism(many.sparkSession))
+    if (top or 0) <= limit:
         return many.join(one, key, how)
+    hot = one.where(F.col(weight) > limit)
     cold = many.join(F.broadcast(hot.select(key)), key, "left_anti").join(one.where(F.col(weight) <= limit), key, how)
     return many.join(F.broadcast(hot), key).unionByName(cold)

@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from . import common
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, root: str) -> DataFrame:
     """From edges (u, v) of longs to (node, root): root is the least node of the node's component. Nodes without an edge
-    are not there.
+    are not there. The work folder `root` has the steps and, when it is done, the result alone.
 
-    Alternates large-star and small-star steps until nothing changes. Both are groupings by node with a join back, so
-    hubs are pre-aggregated; every step is written to the shared folder, so a join reads both its sides from there and can
-split a hub's rows.
+    Alternates large-star and small-star steps until nothing changes. Both are groupings by node with a join back: hubs are
+    pre-aggregated, and their rows are joined where they are (join_split). Every step is written.
     """
-    spark, root = edges.sparkSession, common.work_path(edges.sparkSession, "components")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(2**40))).first())
+    mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     now = common.saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), f"{root}/0")
     was, step = mark(now), 0
     while was[0]:
+        at = f"{root}/{step + 1}"
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{root}/{step + 1}-least-large")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = common.saved(large, f"{root}/{step + 1}-large")
-        least = common.saved(large.groupBy("u").agg(F.min("v").alias("m")), f"{root}/{step + 1}-least-small")
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        least = common.saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")), f"{at}-least-large")
+        large = common.join_split(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = common.saved(large, f"{at}-large")
+        least = common.saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), f"{at}-least-small")
+        small = common.join_split(large, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
+        now = common.saved(small.distinct(), at)
+        common.remove(f"{at}-least-large", f"{at}-large", f"{at}-least-small", f"{root}/{step}")
         step += 1
-        now = common.saved(small.distinct(), f"{root}/{step}")
         if (mine := mark(now)) == was:
             break
         was = mine

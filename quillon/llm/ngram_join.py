@@ -5,10 +5,12 @@ runs of ASCII letters, digits and all characters beyond ASCII, as the oracle SQL
 values of the n-grams under random permutations of 32 bits. bands() chooses how many rows make a band and how many bands
 are needed, so that a pair at the threshold meets in some band with the target recall.
 
-Rows are shuffled on band hashes; each row is tied to the least row of its bucket, so buckets give as many edges as
-members. Components of those edges hold every candidate pair. Within them all pairs are verified on the full n-gram sets:
-a component is cut into blocks of bounded size, and each pair of blocks is one group, which sends on a count of links for
-each row and ties to the least row it is linked to: never the pairs.
+Rows are shuffled on band hashes. Pairs that share a bucket are the candidates, and each is verified once, on the full n-gram
+sets. Buckets with the same members are one. A bucket is cut into blocks of bounded size, and each pair of blocks is a group
+of rows; a pair that several buckets share is counted in the first of them. Where the buckets of one component of the graph
+"shares a bucket" overlap so much that its rows would move more often than by taking all blocks of the component together, the
+component is cut into blocks instead; which way is taken changes no result. A group sends on a count of links for each row
+and ties to the least row it is linked to: never the pairs.
 
 Defined results: null texts are empty; texts without a word have no n-grams and link only to equal texts; a null doc_id is
 a document that sorts first; rows that repeat doc_id and text are copies of each other; other columns are not read; an
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -134,7 +137,7 @@ def _sign(rows: int, count: int, words: int, cut: Callable[[str], np.ndarray]):
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of every set of left with every set of right, by products of blocks of columns."""
-    out = np.zeros((len(left), len(right)), np.float32)
+    out = np.zeros((len(left), len(right)), np.int64)
     sets = [*left, *right]
     values, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -146,20 +149,32 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     width = max(256, min(8192, (4 << 20) // max(1, len(sets))))
     for start in range(0, int(many.sum()), width):
         a, b = np.searchsorted(column, [start, start + width])
-        block = np.zeros((len(sets), width), np.float32)
+        block = np.zeros((len(sets), width), np.float32)  # sums of at most `width` ones are exact
         block[row[a:b], column[a:b] - start] = 1
-        out += block[: len(left)] @ block[len(left) :].T
+        out += (block[: len(left)] @ block[len(left) :].T).astype(np.int64)
     return out
 
 
-def links_of(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the pairs whose Jaccard similarity is at least the threshold."""
-    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    if len(left) * len(right) <= 64:
-        pairs = [(i, j) for i in range(len(left)) for j in range(len(right)) if min(n[i], m[j]) >= threshold * max(n[i], m[j]) and (k := len(np.intersect1d(left[i], right[j], assume_unique=True))) >= threshold * (n[i] + m[j] - k) - 1e-9]
-        return np.array([p[0] for p in pairs], int), np.array([p[1] for p in pairs], int)
-    both = overlaps(left, right)
-    return np.nonzero(both >= threshold * (n[:, None] + m[None, :] - both) - 1e-6)
+def similar(both, n, m, threshold: float):
+    """Whether sets of n and m values with `both` in common reach the threshold, in whole numbers."""
+    t = Fraction(threshold).limit_denominator(10**6)
+    return both * t.denominator >= t.numerator * (n + m - both)
+
+
+def links_of(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of those of the pairs (a matrix of booleans) whose Jaccard similarity is at least the threshold."""
+    n, m = np.array([len(s) for s in left], np.int64), np.array([len(s) for s in right], np.int64)
+    i, j = np.nonzero(pairs)
+    fits = similar(np.minimum(n[i], m[j]), n[i], m[j], threshold)
+    i, j = i[fits], j[fits]
+    if len(i) <= len(left) + len(right):
+        both = np.array([len(np.intersect1d(left[a], right[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    else:
+        rows, columns = np.unique(i), np.unique(j)
+        table = overlaps([left[a] for a in rows], [right[b] for b in columns])
+        both = table[np.searchsorted(rows, i), np.searchsorted(columns, j)]
+    linked = similar(both, n[i], m[j], threshold)
+    return i[linked], j[linked]
 
 
 def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -175,35 +190,56 @@ def _least(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def _verify(threshold: float, words: int, cut: Callable[[str], np.ndarray]):
-    """Groups of rows (part, comp, low, high, block, rid, copies, text), sorted, to (rid, links, root)."""
+def _sets(words: int, cut: Callable[[str], np.ndarray]):
+    """(rid, text) to (rid, set), the n-grams as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in range(0, b.num_rows, 200):
+                own = b.slice(part, 200)
+                sets = [ngrams(t, words, cut).tobytes() for t in own.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.column("rid"), pa.array(sets, pa.binary())], ["rid", "set"])
+
+    return run
+
 
-    def solve(rows: dict[int, tuple[int, int, np.ndarray]], low: int, high: int) -> list[tuple[int, int, int]]:
+GROUP = ("whole", "key", "low", "high", "block", "rid", "copies", "buckets", "set")
+
+
+def _verify(threshold: float):
+    """Rows of groups (GROUP), sorted by the first four, to (rid, links, root). whole: key is a component, else a bucket."""
+
+    def solve(rows: dict[int, tuple], group: tuple) -> list[tuple[int, int, int]]:
+        whole, key, low, high = group
         rids = sorted(rows)  # the least row of a local component is then its least rid
         sides = [[k for k, r in enumerate(rids) if rows[r][0] == side] for side in (low, high)]
-        sets = [rows[r][2] for r in rids]
-        i, j = links_of([sets[k] for k in sides[0]], [sets[k] for k in sides[1]], threshold)
-        i, j = np.array(sides[0], int)[i], np.array(sides[1], int)[j]
+        buckets = [np.array(rows[r][2], np.int64) for r in rids]
+        if not whole:
+            buckets = [b[b < key] for b in buckets]  # a pair counts in the first bucket that both are in
+        shared = overlaps(*([buckets[k].view(np.uint64) for k in side] for side in sides)) > 0
+        pairs = shared if whole else ~shared
         if low == high:
-            i, j = i[i < j], j[i < j]
+            pairs = np.triu(pairs, 1)
+        sets = [np.frombuffer(rows[r][3], np.uint64) for r in rids]
+        i, j = links_of([sets[k] for k in sides[0]], [sets[k] for k in sides[1]], pairs, threshold)
+        i, j = np.array(sides[0], int)[i], np.array(sides[1], int)[j]
         copies = np.array([rows[r][1] for r in rids])
         links = np.bincount(i, copies[j], len(rids)) + np.bincount(j, copies[i], len(rids))
         label = _least(len(rids), i, j)
         return [(rids[k], int(links[k]), rids[label[k]]) for k in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, {}, []
+        now, rows, out = None, {}, []
         for b in batches:
-            for comp, low, high, block, rid, copies, text in zip(*(b.column(c).to_pylist() for c in ("comp", "low", "high", "block", "rid", "copies", "text")), strict=True):
-                if (comp, low, high) != key:
-                    out += solve(rows, key[1], key[2]) if rows else []
-                    key, rows = (comp, low, high), {}
-                if rid not in rows:
-                    rows[rid] = (block, copies, ngrams(text, words, cut))
+            for *group, block, rid, copies, buckets, grams in zip(*(b.column(c).to_pylist() for c in GROUP), strict=True):
+                if group != now:
+                    out += solve(rows, now) if rows else []
+                    now, rows = group, {}
+                rows[rid] = (block, copies, buckets, grams)
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["rid", "links", "root"])
                 out = []
-        out += solve(rows, key[1], key[2]) if rows else []
+        out += solve(rows, now) if rows else []
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["rid", "links", "root"])
 
     return run
@@ -212,7 +248,9 @@ def _verify(threshold: float, words: int, cut: Callable[[str], np.ndarray]):
 def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = 0.99999, cut: Callable[[str], np.ndarray] = word_hashes) -> DataFrame:
     """Returns for each row of docs: doc_id, class_id (the least doc_id of all it is linked with, directly or not), n_links
     (other rows with similarity of the threshold or more, equal texts among them), copies (rows with its text), tkey (md5
-    of its text) and kept (true for the rows of one text of each class, that of the least doc_id)."""
+    of its text) and kept (true for the rows of one text of each class, that of the least doc_id).
+
+    recall: the probability, at least, that a pair right at the threshold is a candidate; pairs above it have a higher one."""
     spark = docs.sparkSession
     at = common.work_path(spark, "ngram-join")
     per_band, count = bands(threshold, recall)
@@ -222,40 +260,52 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     signed = common.saved(signed.withColumn("rid", F.monotonically_increasing_id()), f"{at}/signed")
     classes = common.saved(signed.groupBy("tkey").agg(F.min("rid").alias("rid"), F.count("*").alias("copies"), F.min("did").alias("lead")), f"{at}/classes")
 
-    # one row of each class goes on, to the buckets of its bands
-    leads = signed.select("rid", "bands").join(classes.select("rid"), "rid", "left_semi")
-    placed = leads.select("rid", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("rid").alias("least"), F.count("*").alias("n")).where("n > 1").select("bucket", "least")
-    edges = placed.join(buckets, "bucket").where("rid <> least").select(F.col("rid").alias("u"), F.col("least").alias("v")).distinct()
-    near = components(common.saved(edges, f"{at}/edges"))
-
-    # all pairs of a component, block by block
-    members = common.saved(near.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(signed.select("rid", "grams"), "rid").join(classes, "rid"), f"{at}/members")
-    sizes = members.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("grams") / BLOCK_GRAMS)).alias("blocks"))
-    todo = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).select("rid", "comp", "copies", "lead", "tkey", "block", "blocks")
-    texts = own.join(todo.withColumnRenamed("lead", "did").hint("shuffle_hash"), ["tkey", "did"])
-    other = texts.select("comp", "block", "rid", "copies", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    dealt = other.select("comp", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rid", "copies", "text")
-    dealt = dealt.repartition(4 * common.parallelism(spark), "comp", "low", "high").sortWithinPartitions("comp", "low", "high")
-    linked = common.saved(dealt.mapInArrow(_verify(threshold, words, cut), "rid bigint, links bigint, root bigint"), f"{at}/linked")
+    # one row of each class goes on, to the buckets of its bands; of buckets with the same members one is left
+    blocks_of = lambda n, grams: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS))
+    leads = signed.select("rid", "grams", "bands").join(classes.select("rid"), "rid", "left_semi")
+    placed = leads.select("rid", "grams", F.explode("bands").alias("bucket"))
+    sizes = placed.groupBy("bucket").agg(F.min("rid").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("who"), F.sum("grams").alias("grams")).where("n > 1")
+    distinct = sizes.groupBy("least", "n", "who", "grams").agg(F.min("bucket").alias("bucket"))
+    buckets = common.saved(distinct.select("bucket", "least", "n", blocks_of(F.col("n"), F.col("grams")).alias("blocks")), f"{at}/buckets")
+    inside = common.saved(common.join_split(placed, buckets, "bucket", "n").select("rid", "grams", "bucket", "least", "n", "blocks"), f"{at}/inside")
+    near = components(inside.where("rid <> least").select(F.col("rid").alias("u"), F.col("least").alias("v")).distinct(), f"{at}/near")
+    ways = inside.groupBy("rid").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"), F.collect_list(F.struct("bucket", "blocks")).alias("cut"), F.sum("blocks").alias("moves"), F.first("grams").alias("grams"))
+    members = common.saved(near.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(ways, "rid").join(classes, "rid"), f"{at}/members")
+
+    # a component goes by its own blocks or by its buckets', whichever moves fewer rows
+    whole = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"), F.sum("moves").alias("moves")).withColumn("blocks", blocks_of(F.col("n"), F.col("grams")))
+    whole = common.saved(whole.select("comp", "n", "blocks", (F.col("n") * F.col("blocks") <= F.col("moves")).alias("whole")), f"{at}/whole")
+    cut_by = F.when(F.col("whole"), F.array(F.struct(F.col("comp").alias("bucket"), "blocks"))).otherwise(F.col("cut"))
+    todo = common.saved(common.join_split(members.select("rid", "comp", "copies", "lead", "tkey", "buckets", "cut"), whole, "comp", "n").select("rid", "copies", "lead", "tkey", "buckets", "whole", cut_by.alias("cut")), f"{at}/todo")
+    texts = own.join(todo.select("rid", "tkey", F.col("lead").alias("did")).hint("shuffle_hash"), ["tkey", "did"]).select("rid", "text")
+    sets = common.saved(texts.mapInArrow(_sets(words, cut), "rid bigint, set binary").groupBy("rid").agg(F.first("set").alias("set")), f"{at}/sets")
+    dealt = todo.select("rid", "copies", "buckets", "whole", F.explode("cut").alias("cut")).select("rid", "copies", "buckets", "whole", F.col("cut.bucket").alias("key"), F.col("cut.blocks").alias("blocks"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    groups = dealt.join(sets, "rid").select("whole", "key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "rid", "copies", "buckets", "set")
+    groups = groups.repartition(4 * common.parallelism(spark), "whole", "key", "low", "high").sortWithinPartitions("whole", "key", "low", "high")
+    linked = common.saved(groups.mapInArrow(_verify(threshold), "rid bigint, links bigint, root bigint"), f"{at}/linked")
 
     links = linked.groupBy("rid").agg(F.sum("links").alias("links"))
-    final = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v")))
+    final = components(linked.select(F.col("rid").alias("u"), F.col("root").alias("v")), f"{at}/final")
     named = classes.join(final.withColumnRenamed("node", "rid"), "rid", "left").join(links, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     named = common.saved(named, f"{at}/named")
-    best = named.groupBy("root").agg(F.min("lead").alias("class_id"), F.min_by("rid", F.struct("lead", "rid")).alias("best"))
-    whole = common.saved(named.join(best, "root").select("tkey", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("rid") == F.col("best")).alias("kept")), f"{at}/whole")
+    best = common.saved(named.groupBy("root").agg(F.min("lead").alias("class_id"), F.min_by("rid", F.struct("lead", "rid")).alias("best"), F.count("*").alias("n")), f"{at}/best")
+    lines = common.join_split(named, best, "root", "n").select("tkey", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), (F.col("rid") == F.col("best")).alias("kept"))
+    lines = common.saved(lines, f"{at}/lines")
     null_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return signed.select("did", "tkey").join(whole, "tkey").select(null_id("did").alias("doc_id"), null_id("class_id").alias("class_id"), "n_links", "copies", "tkey", "kept")
+    out = common.join_split(signed.select("did", "tkey"), lines, "tkey", "copies").select(null_id("did").alias("doc_id"), null_id("class_id").alias("class_id"), "n_links", "copies", "tkey", "kept")
+    out = common.saved(out, common.work_path(spark, "ngram-groups"))
+    common.remove(at)
+    return out
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, cut: Callable[[str], np.ndarray] = word_hashes) -> DataFrame:
     """The rows of docs without near copies: of each class, the rows of the text with the least doc_id. All columns stay."""
-    kept = jaccard_groups(docs, threshold, words, cut=cut).where("kept").select(F.col("tkey").alias("_near_key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_near_id"))
-    least = kept.groupBy("_near_key").agg(F.min("_near_id").alias("_near_id"))
-    body = docs.withColumn("_near_text", F.unhex(F.md5(common.text_or_empty()))).withColumn("_near_doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    same = (body["_near_text"] == least["_near_key"]) & (body["_near_doc"] == least["_near_id"])
-    return body.join(least.hint("shuffle_hash"), same, "left_semi").drop("_near_text", "_near_doc")
+    text, doc = common.fresh(docs, "near_text"), common.fresh(docs, "near_doc")
+    kept = jaccard_groups(docs, threshold, words, cut=cut).where("kept").select(F.col("tkey").alias(text), F.coalesce("doc_id", F.lit(NO_ID)).alias(doc))
+    least = kept.groupBy(text).agg(F.min(doc).alias(doc))
+    body = docs.withColumn(text, F.unhex(F.md5(common.text_or_empty()))).withColumn(doc, F.coalesce("doc_id", F.lit(NO_ID)))
+    return body.join(least.hint("shuffle_hash"), [text, doc], "left_semi").drop(text, doc)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
