@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .pieces import PieceTable, slices, split_pieces
+from .pieces import PieceTable, gather, slices, split_pieces
 
 CONTRACT = """
 WITH RECURSIVE step(w, ts) USING KEY (w) AS (
@@ -45,7 +45,7 @@ WITH RECURSIVE step(w, ts) USING KEY (w) AS (
 SELECT w, ts FROM step ORDER BY w
 """
 DECODE = """
-SELECT d, string_agg(v.body, '' ORDER BY p) AS body
+SELECT d, array_to_string(list(v.body ORDER BY p), '') AS body
 FROM (SELECT d, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM ids_in) JOIN vocab v USING (t) GROUP BY d
 """
 
@@ -54,6 +54,14 @@ FROM (SELECT d, unnest(ids) AS t, generate_subscripts(ids, 1) AS p FROM ids_in)
 MOST_PIECES, QUERY_WORDS, QUERY_IDS = 500_000, 50_000, 500_000
 
 
+#: Bytes are kept in DuckDB's strings as the code points of Latin-1, and byte 0 as the one after them.
+ZERO = "\u0100"
+
+
+def _char(byte: int) -> str:
+    return chr(byte) if byte else ZERO
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as src:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, src)}
@@ -71,7 +79,7 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": os.path.join(tempfile.gettempdir(), "duckdb")})
         left, right, made = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
         self._load("merges", pa.table({"l": left, "r": right, "m": made}))
-        self._load("vocab", pa.table({"t": pa.array(ranks.values(), pa.int32()), "body": [k.hex() for k in ranks]}))
+        self._load("vocab", pa.table({"t": pa.array(ranks.values(), pa.int32()), "body": ["".join(map(_char, k)) for k in ranks]}))
         self.table = PieceTable(self.encode_pieces, np.uint16 if max(ranks.values()) < 2**16 else np.uint32, MOST_PIECES)
 
     def _load(self, name: str, rows: pa.Table) -> None:
@@ -79,22 +87,29 @@ class Codec:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after the other, and their number for each word."""
         ends = np.cumsum([0, *map(len, words)]).astype(np.int32)
         tokens = pa.ListArray.from_arrays(ends, pa.array(self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]))
         self.db.register("words_in", pa.table({"w": pa.array(range(len(words)), pa.int32()), "ts": tokens}))
-        got = self.db.sql(CONTRACT).to_arrow_table()
+        got = self.db.sql(CONTRACT).to_arrow_table().column("ts").combine_chunks()
         self.db.unregister("words_in")
-        return got.column("ts").to_pylist()
+        return got.flatten().to_numpy(zero_copy_only=False), got.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def encode_pieces(self, pieces: list[str]) -> list:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after the other, and their number for each piece."""
         cut = [self.words.findall(p) for p in pieces]
-        distinct = list({w for ws in cut for w in ws})
-        ids: dict[str, list[int]] = {}
+        number: dict[str, int] = {}
+        which = np.fromiter((number.setdefault(w, len(number)) for ws in cut for w in ws), np.int64)
+        distinct, ids, lens = list(number), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for k in range(0, len(distinct), QUERY_WORDS):
-            own = distinct[k : k + QUERY_WORDS]
-            ids.update(zip(own, self.encode_words([w.encode() for w in own]), strict=True))
-        return [ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]] for ws in cut]
+            flat, each = self.encode_words([w.encode() for w in distinct[k : k + QUERY_WORDS]])
+            ids.append(flat)
+            lens.append(each)
+        flat, lens = gather(np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(lens))]), which)
+        counts = np.fromiter(map(len, cut), np.int64, len(cut))
+        done = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(counts)])]
+        return flat, np.diff(done)
 
     def encode_run(self, texts: pa.Array) -> list[np.ndarray]:
         which, pieces, counts = split_pieces(texts, fold=False)
@@ -111,7 +126,7 @@ class Codec:
         self.db.unregister("ids_in")
         out = [b""] * len(ids)
         for d, body in zip(got.column("d").to_pylist(), got.column("body").to_pylist(), strict=True):
-            out[d] = bytes.fromhex(body)
+            out[d] = body.replace(ZERO, "\0").encode("latin-1")
         return out
 
 

@@ -7,7 +7,6 @@ table of bounded size that lives as long as the Python worker, and a batch of te
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +16,19 @@ import pyarrow.compute as pc
 MOST_PIECES, SLICE_BYTES = 1_000_000, 8_000_000
 
 
+def gather(ids: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ids[ends[k] : ends[k + 1]] of the slots k one after the other, and the length of each."""
+    starts = ends[slots]
+    lens = ends[slots + 1] - starts
+    where = np.repeat(starts - (np.cumsum(lens) - lens), lens)
+    where += np.arange(len(where))
+    return ids[where], lens
+
+
 class PieceTable:
-    """piece -> ids, as slices of one flat array."""
+    """piece -> ids, as slices of one flat array. encode gives the ids of pieces, one after the other, and their number for each."""
 
-    def __init__(self, encode: Callable[[list[str]], list], dtype=np.uint16, most: int = MOST_PIECES):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, most: int = MOST_PIECES):
         self.encode, self.dtype, self.most = encode, dtype, most
         self.clear()
 
@@ -36,11 +44,9 @@ class PieceTable:
             self.clear()
             new = pieces
         if new:
-            lists = self.encode(new)
+            flat, lens = self.encode(new)
             k = len(self.at)
             end = self.ends[k]
-            lens = np.fromiter(map(len, lists), np.int64, len(new))
-            flat = np.fromiter(chain.from_iterable(lists), self.dtype, int(lens.sum()))
             while len(self.ids) < end + len(flat):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while len(self.ends) < k + len(new) + 1:
@@ -52,12 +58,7 @@ class PieceTable:
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slots one after the other, and their number for each slot."""
-        starts = self.ends[slots]
-        lens = self.ends[slots + 1] - starts
-        done = np.cumsum(lens)
-        where = np.repeat(starts - (done - lens), lens)
-        where += np.arange(len(where))
-        return self.ids[where], lens
+        return gather(self.ids, self.ends, slots)
 
 
 def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
@@ -97,7 +98,7 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
     if not len(data):
         return np.zeros(0, np.int64), [], np.zeros(len(texts), np.int64)
     kind = CLASS[data]
-    if whole:
+    if whole is not None:
         for i in np.flatnonzero(pc.match_substring(texts, whole).to_numpy(zero_copy_only=False)):
             kind[off[i] : off[i + 1]] = 4
     left, right = kind[:-1], kind[1:]
