@@ -13,12 +13,15 @@ ordered by text; a null doc_id is a key that sorts first; other columns are not
 
 from __future__ import annotations
 
+import json
 import os
 import posixpath
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +33,7 @@ from . import common
 from .pieces import PieceTable, slices, split_pieces
 
 NO_ID = -(2**63)
-MAGIC = b"QTOK1\0"
+MAGIC = b"QTOK2\0"
 #: Bits for each key of a level; levels before the rest are listed one by one.
 GAMMA, MOST_LEVELS = 2.0, 40
 READ_BLOCK = 8 << 20
@@ -82,18 +85,18 @@ class PerfectHash:
 class ShardIndex:
     """keys -> records of a shard; offsets[r], offsets[r + 1]: the ids of record r."""
 
-    def __init__(self, mph: PerfectHash, prints: np.ndarray, first: np.ndarray, many: np.ndarray, offsets: np.ndarray):
-        self.mph, self.prints, self.first, self.many, self.offsets = mph, prints, first, many, offsets
+    def __init__(self, mph: PerfectHash, prints: np.ndarray, first: np.ndarray, many: np.ndarray, offsets: np.ndarray, width: int = 2):
+        self.mph, self.prints, self.first, self.many, self.offsets, self.width = mph, prints, first, many, offsets, width
 
     @classmethod
-    def build(cls, keys: np.ndarray, lens: np.ndarray) -> ShardIndex:
-        """keys (ascending, repeats together) and lengths of the records in order."""
+    def build(cls, keys: np.ndarray, lens: np.ndarray, width: int = 2) -> ShardIndex:
+        """keys (ascending, repeats together) and lengths of the records in order; width: bytes of an id."""
         distinct, first, many = np.unique(keys, return_index=True, return_counts=True)
         mph = PerfectHash.build(distinct.view(np.uint64))
         slot = mph.slots(distinct.view(np.uint64))
         prints, at, num = (np.zeros(len(distinct), t) for t in (np.uint32, np.uint32, np.uint32))
         prints[slot], at[slot], num[slot] = cls.print_of(distinct), first, many
-        return cls(mph, prints, at, num, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64))
+        return cls(mph, prints, at, num, np.concatenate([[0], np.cumsum(lens)]).astype(np.int64), width)
 
     @staticmethod
     def print_of(keys: np.ndarray) -> np.ndarray:
@@ -109,20 +112,20 @@ class ShardIndex:
 
     def to_bytes(self) -> bytes:
         arrays = [*self.mph.levels, self.mph.rest, self.prints, self.first, self.many, self.offsets]
-        head = MAGIC + struct.pack("<II", len(self.mph.levels), len(arrays))
+        head = MAGIC + struct.pack("<III", self.width, len(self.mph.levels), len(arrays))
         return head + b"".join(struct.pack("<Q", a.nbytes) + a.tobytes() for a in arrays)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> ShardIndex:
-        levels, count = struct.unpack_from("<II", data, len(MAGIC))
-        at, parts = len(MAGIC) + 8, []
+        width, levels, count = struct.unpack_from("<III", data, len(MAGIC))
+        at, parts = len(MAGIC) + 12, []
         for _ in range(count):
             (size,) = struct.unpack_from("<Q", data, at)
             parts.append(data[at + 8 : at + 8 + size])
             at += 8 + size
         words = [np.frombuffer(p, np.uint64) for p in parts[: levels + 1]]
         prints, first, many = (np.frombuffer(p, np.uint32) for p in parts[levels + 1 : -1])
-        return cls(PerfectHash(words[:-1], words[-1]), prints, first, many, np.frombuffer(parts[-1], np.int64))
+        return cls(PerfectHash(words[:-1], words[-1]), prints, first, many, np.frombuffer(parts[-1], np.int64), width)
 
 
 def _library(path: str):
@@ -131,7 +134,29 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return lambda pieces: [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    return encode
+
+
+#: The normaliser and splitting rule under which a text may be cut into pieces as split_pieces does it.
+CUT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+@lru_cache(maxsize=8)
+def _about(path: str) -> tuple[bool, int]:
+    """Whether texts may be cut into pieces, and the bytes of an id. Where the file has other rules, texts are encoded whole."""
+    with open(path, encoding="utf-8") as src:
+        own = json.load(src)
+    steps = (own["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+    split = steps[0].get("pattern", {}).get("Regex") == CUT_PATTERN and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and len(steps) == 2 and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    cut = bool(split) and (own["normalizer"] or {}).get("normalizers") == CUT_NORMALIZERS and all("<|" in t["content"] for t in own["added_tokens"])
+    top = max([*own["model"]["vocab"].values(), *(t["id"] for t in own["added_tokens"])])
+    return cut, 2 if top < 2**16 else 4
 
 
 #: The worker's piece table for each vocabulary file.
@@ -141,10 +166,10 @@ _TABLES: dict[str, PieceTable] = {}
 def encode_texts(texts: pa.Array, path: str, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Runs of texts as (ids one after the other, ids for each text), the end id appended to each text."""
     if path not in _TABLES:
-        _TABLES[path] = PieceTable(_library(path))
-    table = _TABLES[path]
+        _TABLES[path] = PieceTable(_library(path), np.uint16 if _about(path)[1] == 2 else np.uint32)
+    table, cut = _TABLES[path], _about(path)[0]
     for run in slices(texts.fill_null("")):
-        which, pieces, counts = split_pieces(run, fold=True, whole="<|")
+        which, pieces, counts = split_pieces(run, fold=cut, whole="<|" if cut else "")
         slots = table.slots(pieces)[which] + 1
         ends = np.cumsum(counts)
         slots = np.insert(slots, ends, 0)  # 0: the end of a text
@@ -164,16 +189,16 @@ def _write_shards(root: str, path: str, end_id: int):
         name = f"{root}/{uuid.uuid4().hex}"  # a retried task writes files of its own; the manifest has those of the one that counted
         files, place = common.store(name)
         files.create_dir(posixpath.dirname(place), recursive=True)
-        keys, lens, total = [], [], 0
+        keys, lens, total, width = [], [], 0, _about(path)[1]
         with files.open_output_stream(place + ".ids") as out:
             for b in batches:
                 keys.append(b.column("did").to_numpy(zero_copy_only=False))
                 for ids, n in encode_texts(b.column("text"), path, end_id):
-                    out.write(ids.astype("<u2").tobytes())
+                    out.write(ids.astype(f"<u{width}").tobytes())
                     lens.append(n)
                     total += len(ids)
         if keys and len(all_keys := np.concatenate(keys)):
-            index = ShardIndex.build(all_keys, np.concatenate(lens))
+            index = ShardIndex.build(all_keys, np.concatenate(lens), width)
             common.write_file(name + ".mph", index.to_bytes())
             yield pa.RecordBatch.from_pydict({"file": [name], "first_key": [int(all_keys[0])], "docs": [len(all_keys)], "ids": [total]})
 
@@ -188,6 +213,7 @@ def write_token_shards(docs: DataFrame, path: str, end_id: int = 2, root: str |
     ranged = docs.select(did.alias("did"), "text").repartitionByRange(common.parallelism(spark), "did").sortWithinPartitions("did", "text")
     written = ranged.mapInArrow(_write_shards(f"{root}/shards", path, end_id), "file string, first_key bigint, docs bigint, ids bigint")
     rows = sorted(common.saved(written, f"{root}/written").collect(), key=lambda r: r.first_key)  # one row a shard
+    common.remove(f"{root}/written")
     start, out = 0, []
     for k, r in enumerate(rows):
         out.append((k, r.file, r.first_key, r.docs, r.ids, start))
@@ -205,10 +231,11 @@ class ShardReader:
         self.at, self.block = 0, b""
 
     def record(self, r: int) -> np.ndarray:
-        a, b = 2 * int(self.index.offsets[r]), 2 * int(self.index.offsets[r + 1])
+        width = self.index.width
+        a, b = width * int(self.index.offsets[r]), width * int(self.index.offsets[r + 1])
         if a < self.at or b > self.at + len(self.block):
             self.at, self.block = a, self.src.read_at(max(b - a, READ_BLOCK), a)
-        return np.frombuffer(self.block, "<u2", count=(b - a) // 2, offset=a - self.at)
+        return np.frombuffer(self.block, f"<u{width}", count=(b - a) // width, offset=a - self.at)
 
 
 def read_token_shards(keys: DataFrame, manifest: DataFrame) -> DataFrame:
