@@ -267,7 +267,7 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
     sizes = placed.groupBy("bucket").agg(F.min("rid").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("who"), F.sum("grams").alias("grams")).where("n > 1")
     distinct = sizes.groupBy("least", "n", "who", "grams").agg(F.min("bucket").alias("bucket"))
     buckets = common.saved(distinct.select("bucket", "least", "n", blocks_of(F.col("n"), F.col("grams")).alias("blocks")), f"{at}/buckets")
-    inside = common.saved(common.join_split(placed, buckets, "bucket", "n").select("rid", "grams", "bucket", "least", "n", "blocks"), f"{at}/inside")
+    inside = common.saved(common.join_split(placed, buckets.hint("shuffle_hash"), "bucket", "n").select("rid", "grams", "bucket", "least", "n", "blocks"), f"{at}/inside")
     near = components(inside.where("rid <> least").select(F.col("rid").alias("u"), F.col("least").alias("v")).distinct(), f"{at}/near")
     ways = inside.groupBy("rid").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"), F.collect_list(F.struct("bucket", "blocks")).alias("cut"), F.sum("blocks").alias("moves"), F.first("grams").alias("grams"))
     members = common.saved(near.select(F.col("node").alias("rid"), F.col("root").alias("comp")).join(ways, "rid").join(classes, "rid"), f"{at}/members")
