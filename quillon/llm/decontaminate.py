@@ -4,16 +4,18 @@ The CGK embedding walks over a word sequence: at step j it emits the word under
 random bit of (j, word). Sequences at a small edit distance fall back into step, so their embeddings agree at most steps:
 edit distance becomes Hamming distance. A table of the index is one random walk with a few sampled steps, and its key is
 the words emitted at those steps (bit-sampling LSH). Items are indexed by size class, windows have their items' size, and
-tables are added until passages of the class's own items with the greatest number of edits are found with the target recall,
-measured over all of them when the index is built. A class that cannot get there with MOST_TABLES tables of its own, or
+tables are added until passages of the class's own items with the greatest number of edits are found with the target recall.
+It is measured when the index is built, over all items of the class, on passages edited afresh after the last table was made,
+and is a column of the result. A class that cannot get there with MOST_TABLES tables of its own, or
 within TABLE_BYTES, is looked up by exact seeds instead: an item with k edits keeps one of k + 1 pieces whole, so all are found.
 Candidates are verified by exact edit distance.
 
 A window starts at every STRIDE-th word of a document; an item is indexed from each of its first STRIDE words, so a passage
-wherever it begins has a window that starts at one of them: unedited passages are always found. Items of fewer than
-SHORT words allow no edit and are looked up as a whole.
+wherever it begins has a window that starts at one of them: unedited passages are always found. An item of which one of these
+is in no table, because the walk outran it, has seeds too. Items of fewer than SHORT words allow no edit and are looked up as a whole.
 
-Items are taken in blocks of BLOCK_ITEMS; an index goes to the tasks, and every block meets all documents.
+Items go to blocks of about BLOCK_ITEMS items and BLOCK_BYTES of text. Each block's index is built in a task and written to the
+shared folder; documents are read once, and a task holds each run of texts against one index after the other.
 
 Defined results: words are those of unicode_words.py (lower-cased runs of Unicode letters, marks and numbers; each
 character of a script written without spaces is a word); null texts and items are empty, and an item without a
@@ -23,8 +25,12 @@ read; empty tables give no rows.
 
 from __future__ import annotations
 
+import json
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,7 +42,9 @@ from . import common
 from .ngram_join import mix
 from .unicode_words import word_hashes
 
-STRIDE, SHORT, SAMPLES, CLASSES, MOST_TABLES, BLOCK_ITEMS = 4, 10, 4, 4096, 64, 5000
+STRIDE, SHORT, SAMPLES, CLASSES, MOST_TABLES = 4, 10, 4, 4096, 64
+#: A block of items; indexes that a task keeps in memory.
+BLOCK_ITEMS, BLOCK_BYTES, MOST_HELD = 5000, 16 << 20, 2
 #: The walks of one class have at most so many bytes; a seed has at most so many words; a class is judged after FEWEST tables.
 TABLE_BYTES, SEED_WORDS, FEWEST = 64 << 20, 8, 8
 #: Words of documents handled at once.
@@ -58,6 +66,11 @@ def edit_distance(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
+def _class_of(words: int) -> int:
+    """The least number of words of the size class of an item."""
+    return SHORT << ((words // SHORT).bit_length() - 1)
+
+
 @dataclass
 class Table:
     """One walk with its sampled steps, and the keys of the items (indices into owners)."""
@@ -136,7 +149,7 @@ class Index:
             if 0 < len(w) < SHORT:
                 self.whole.setdefault(len(w), {}).setdefault(int(_sequence(w)), []).append(k)
             elif len(w):
-                sizes.setdefault(SHORT << int(np.log2(len(w) / SHORT)), []).append(k)
+                sizes.setdefault(_class_of(len(w)), []).append(k)
         rng = np.random.default_rng(seed)
         for least, members in sorted(sizes.items()):
             self._add_class(least, members, recall, rng)
@@ -147,31 +160,42 @@ class Index:
         """Tables for the items of least .. 2 least - 1 words, until enough edited passages of all of them are found, or seeds."""
         steps = max(SAMPLES, int(1.5 * (least - STRIDE)))
         most = min(MOST_TABLES, TABLE_BYTES // (steps * CLASSES))
-        owners = [members[i % len(members)] for i in range(max(200, len(members)))]
-        around = [((5, 5), (0, 5), (5, 0), (5, 5))[i % 4] for i in range(len(owners))]  # in the midst, at the start and at the end of a text
-        trials = [self._edited(self.words[k], self.most[k], rng, *a) for k, a in zip(owners, around, strict=True)]
-        lost, made = list(range(len(trials))), []
-        while lost and len(lost) / len(trials) > 1 - recall:
-            # losses fall ever more slowly: at this pace, the last table would not bring the recall
-            hopeless = len(made) >= FEWEST and (len(lost) / len(trials)) ** (most / len(made)) > 1 - recall
-            if len(made) >= most or hopeless:
-                self._add_seeds(members)
-                self.recalls[least] = 1.0
-                return
-            at = np.sort(rng.choice(steps, SAMPLES, replace=False))
-            table = Table(rng.integers(0, 2, (int(at[-1]) + 1, CLASSES), dtype=np.int64).astype(np.int8), at)
-            table.fill([(k, self.words[k]) for k in members])
-            made.append(table)
-            still = []
-            for t in lost:
-                text = np.concatenate([trials[t], np.zeros(int(at[-1]) + 2, np.uint64)])
-                first = int(rng.integers(STRIDE)) if around[t][0] else 0
-                starts = np.arange(first, len(trials[t]), STRIDE)
-                if not any(k == owners[t] for k, *_ in table.candidates(text, (text % np.uint64(CLASSES)).astype(np.int64), starts)):
-                    still.append(t)
-            lost = still
+        trials, made = self._trials(members, rng), []
+        lost = trials
+        while True:
+            while len(lost) > (1 - recall) * len(trials):
+                # losses fall ever more slowly: at this pace, the last table would not bring the recall
+                hopeless = len(made) >= FEWEST and (len(lost) / len(trials)) ** (most / len(made)) > 1 - recall
+                if len(made) >= most or hopeless:
+                    self._add_seeds(members)
+                    self.recalls[least] = 1.0
+                    return
+                at = np.sort(rng.choice(steps, SAMPLES, replace=False))
+                table = Table(rng.integers(0, 2, (int(at[-1]) + 1, CLASSES), dtype=np.int64).astype(np.int8), at)
+                table.fill([(k, self.words[k]) for k in members])
+                made.append(table)
+                lost = [t for t in lost if not self._meets(table, *t)]
+            # the passages that told when to stop flatter the tables: others have the last word
+            trials = self._trials(members, rng)
+            lost = [t for t in trials if not any(self._meets(table, *t) for table in made)]
+            if len(lost) <= (1 - recall) * len(trials):
+                break
         self.tables += made
         self.recalls[least] = 1 - len(lost) / len(trials)
+        placed = {(int(k), int(o)) for table in made for k, o in table.owners}
+        self._add_seeds([k for k in members if any((k, o) not in placed for o in range(STRIDE))])
+
+    def _trials(self, members: list[int], rng: np.random.Generator) -> list[tuple[int, np.ndarray, int]]:
+        """(item, passage with the item's greatest number of edits, first window): 200 at least, each item at least once."""
+        out = []
+        for i in range(max(200, len(members))):
+            k, (before, after) = members[i % len(members)], ((5, 5), (0, 5), (5, 0), (5, 5))[i % 4]  # in the midst, at the start and at the end of a text
+            out.append((k, self._edited(self.words[k], self.most[k], rng, before, after), int(rng.integers(STRIDE)) if before else 0))
+        return out
+
+    def _meets(self, table: Table, owner: int, passage: np.ndarray, first: int) -> bool:
+        text = np.concatenate([passage, np.zeros(int(table.at[-1]) + 2, np.uint64)])
+        return any(k == owner for k, *_ in table.candidates(text, (text % np.uint64(CLASSES)).astype(np.int64), np.arange(first, len(passage), STRIDE)))
 
     def _add_seeds(self, members: list[int]) -> None:
         """The first words of most + 1 pieces of each item: one piece has no edit."""
@@ -183,6 +207,11 @@ class Index:
             for o in range(0, size * (self.most[k] + 1), size):
                 self.seeds.setdefault(n, []).append((int(_sequence(self.words[k][o : o + n])), k, o))
 
+    def recall_of(self, item: int) -> float:
+        """The measured recall of the item's size class; 1 where look-up is exact."""
+        n = len(self.words[item])
+        return self.recalls[_class_of(n)] if n >= SHORT else 1.0
+
     def _seeded(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, where it would begin, the seed's start) for the places of words that hold a seed."""
         for n, (keys, owners) in self.pieces.items():
@@ -279,56 +308,69 @@ def _sequence(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(items: DataFrame, max_error: float, recall: float) -> Iterator[Index]:
-    """An index for each BLOCK_ITEMS items, in order of item_id and text."""
-    rows = items.select("item_id", "text").orderBy("item_id", "text").toLocalIterator(prefetchPartitions=False)
-    block: list = []
-    for r in rows:
-        block.append((r.item_id, r.text))
-        if len(block) == BLOCK_ITEMS:
-            yield Index(block, max_error, recall)
-            block = []
-    if block:
-        yield Index(block, max_error, recall)
+MANIFEST = "file string, items bigint, classes string"
+
+
+def build_indexes(items: DataFrame, root: str, max_error: float, recall: float) -> DataFrame:
+    """Writes an index for each block of items. Returns file, items and classes (JSON: words of the size class, at least, to
+    its measured recall), one row a block."""
+    size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size[0] // BLOCK_ITEMS), -(-size[1] // BLOCK_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        if rows:
+            file = f"{root}/{uuid.uuid4().hex}.index"  # a retried task writes a file of its own; the manifest names the one that counted
+            index = Index(sorted(rows, key=lambda r: (r[0] is not None, r[0], r[1] or "")), max_error, recall)
+            common.write_file(file, pickle.dumps(index))
+            yield pa.RecordBatch.from_pydict({"file": [file], "items": [len(rows)], "classes": [json.dumps(index.recalls)]})
+
+    return common.saved(items.select("item_id", "text").repartition(blocks).mapInArrow(run, MANIFEST), f"{root}/manifest")
+
+
+@lru_cache(maxsize=MOST_HELD)
+def _index(file: str) -> Index:
+    return pickle.loads(common.read_file(file))  # noqa: S301: written by build_indexes
+
+
+def _indexed(items: DataFrame, max_error: float, recall: float) -> list[str]:
+    """The files of the blocks' indexes: one for BLOCK_ITEMS items or BLOCK_BYTES of text."""
+    root = common.work_path(items.sparkSession, "benchmark")
+    return [r.file for r in build_indexes(items, root, max_error, recall).select("file").orderBy("file").collect()]
 
 
 def find_items(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall: float = 0.95) -> DataFrame:
-    """Returns doc_id, item_id, distance (word edits), first_word and n_words (of the item): the best place of each item in
-    each row of docs that holds it within max_error of its words."""
-    spark = docs.sparkSession
-    schema = "doc_id bigint, item_id bigint, distance bigint, first_word bigint, n_words bigint"
-    out = spark.createDataFrame([], schema)
-    for index in _blocks(items, max_error, recall):
-        shared = spark.sparkContext.broadcast(index)  # one block of items: bounded
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
-            for b in batches:
-                ids = b.column("doc_id").to_pylist()
-                rows = [(ids[row], own.ids[k], distance, at, len(own.words[k])) for row, k, distance, at in own.find(b.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], ["doc_id", "item_id", "distance", "first_word", "n_words"])
-
-        out = out.unionAll(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+    """Returns doc_id, item_id, distance (word edits), first_word, n_words (of the item) and recall (measured, at the greatest
+    number of edits, for the item's size class in its block): the best place of each item in each row of docs that holds it
+    within max_error of its words."""
+    files = _indexed(items, max_error, recall)
+    names = ["doc_id", "item_id", "distance", "first_word", "n_words", "recall"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            for file in files:
+                own = _index(file)
+                rows = [(ids[row], own.ids[k], distance, at, len(own.words[k]), own.recall_of(k)) for row, k, distance, at in own.find(texts)]
+                columns = zip(*rows, strict=True) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "recall" else pa.int64()) for c, n in zip(columns, names, strict=True)], names)
 
-def _holds(shared):
-    """A pandas UDF: whether a text holds an item of the index."""
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, distance bigint, first_word bigint, n_words bigint, recall double")
+
+
+def clean_of(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall: float = 0.95) -> DataFrame:
+    """The rows of docs that hold no item. All columns stay."""
+    files = _indexed(items, max_error, recall)
 
     @F.pandas_udf("boolean")
     def holds(texts):
         out = np.zeros(len(texts), bool)
-        out[[row for row, *_ in shared.value.find(texts.tolist())]] = True
+        for file in files:
+            left = np.flatnonzero(~out)
+            out[left[sorted({row for row, *_ in _index(file).find([texts.iloc[i] for i in left])})]] = True
         return pd.Series(out)
 
-    return holds
-
-
-def clean_of(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall: float = 0.95) -> DataFrame:
-    """The rows of docs that hold no item. All columns stay."""
-    for index in _blocks(items, max_error, recall):
-        docs = docs.where(~_holds(docs.sparkSession.sparkContext.broadcast(index))("text"))
-    return docs
+    return docs.where(~holds("text"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
