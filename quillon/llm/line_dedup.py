@@ -1,9 +1,11 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-The store is a set of runs. A run is a Parquet table bucketed and sorted by line hash, so a merge join against it
-needs no exchange of the run. Every hash lives in one run only: a new batch is anti-joined with all runs, its unseen
-hashes become a run of level 0, and its seen ones go to a log of hits (hash, documents, last document). When a level
-has `fan_in` runs, they are merged into one run of the next level. A hash's totals are its run row plus its hits.
+The store is a set of runs. A run is a Parquet table bucketed and sorted by line hash, one file a bucket, so a merge join
+against it needs neither an exchange nor a sort of the run. Every hash lives in one run only: a new batch, sorted once, is
+merged with all runs in turn; its unseen hashes (the anti-join) become a run of level 0, and its seen ones go to a log of
+hits (hash, documents, last document). When a level has `fan_in` runs, they are merged into one run of the next level. A
+hash's totals are its run row plus its hits. The runs are tables of the session's catalogue, quillon_run_*, and are dropped
+at the end, also where the work fails.
 
 Defined results: a null or empty text is one empty line; each row counts as one document; a null doc_id sorts below
 all others; columns other than doc_id and text are neither read nor returned; an empty table gives no rows.
@@ -37,8 +39,12 @@ def _lines() -> Column:
     return F.split(common.text_or_empty(), "\n", -1)
 
 
+#: With it, a scan of a bucketed table with one file a bucket is known to be sorted.
+SORTED_SCAN = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
 class LineRuns:
-    """The levelled store. add() takes batches; totals() gives every hash's documents and last document."""
+    """The levelled store, also a context. add() takes batches; totals() gives every hash's documents and last document."""
 
     def __init__(self, spark: SparkSession, fan_in: int = 3):
         self.spark, self.fan_in = spark, fan_in
@@ -47,25 +53,44 @@ class LineRuns:
         self.runs: list[tuple[int, str]] = []  # level, table
         self.hits: list[DataFrame] = []
 
+        self.before = spark.conf.get(SORTED_SCAN)
+        spark.conf.set(SORTED_SCAN, "true")
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def drop(self) -> None:
+        for _, name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.remove(self.root)
+        self.spark.conf.set(SORTED_SCAN, self.before)
+
     def _write_run(self, rows: DataFrame, level: int) -> None:
         name = f"quillon_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
         self.runs.append((level, name))
+        one_file = rows.repartition(self.buckets, "h")
+        one_file.write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.root}/{name}").format("parquet").saveAsTable(name)
 
     def _all(self, names: list[str]) -> DataFrame:
         return reduce(DataFrame.unionAll, [self.spark.table(n) for n in names])
 
+    def _merged(self, batch: DataFrame) -> DataFrame:
+        """batch with column seen: whether some run has the hash. One merge join for each run, none sorted anew."""
+        batch = batch.withColumn("seen", F.lit(False))
+        for _, name in self.runs:
+            run = self.spark.table(name).select("h", F.lit(True).alias("there")).hint("merge")
+            batch = batch.join(run, "h", "left").select("h", "docs", "last_doc", (F.col("seen") | F.col("there").isNotNull()).alias("seen"))
+        return batch
+
     def add(self, rows: DataFrame) -> None:
         """rows (h, did): a row for each document and distinct line of the batch."""
-        batch = common.saved(rows.groupBy("h").agg(F.count("*").alias("docs"), F.max("did").alias("last_doc")), f"{self.root}/batch-{uuid.uuid4().hex}")
-        fresh, seen = batch, []
-        for _, name in self.runs:
-            run = self.spark.table(name).select("h").hint("merge")
-            fresh = fresh.join(run, "h", "left_anti")
-            seen.append(batch.join(run, "h", "left_semi"))
-        self._write_run(fresh, 0)
-        if seen:
-            self.hits.append(common.saved(reduce(DataFrame.unionAll, seen), f"{self.root}/hits-{uuid.uuid4().hex}"))
+        batch = rows.groupBy("h").agg(F.count("*").alias("docs"), F.max("did").alias("last_doc"))
+        merged = common.saved(self._merged(batch), f"{self.root}/batch-{uuid.uuid4().hex}")
+        self.hits.append(merged.where("seen").select("h", "docs", "last_doc"))
+        self._write_run(merged.where("NOT seen").select("h", "docs", "last_doc"), 0)
         self._compact()
 
     def _compact(self) -> None:
@@ -83,11 +108,6 @@ class LineRuns:
         rows = [self.spark.table(n).select("h", "docs", "last_doc") for _, n in self.runs] + self.hits
         return reduce(DataFrame.unionAll, rows).groupBy("h").agg(F.sum("docs").alias("docs"), F.max("last_doc").alias("last_doc"))
 
-    def drop(self) -> None:
-        for _, name in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        common.remove(self.root)
-
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fan_in: int = 3) -> DataFrame:
     """Drops frequent lines. A key of min_chars or more, held by min_docs or more documents, keeps its lines only in the
@@ -102,16 +122,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     staged_at = common.work_path(spark, "line-keys")
     keyed.withColumn("batch", F.pmod(F.xxhash64("did"), F.lit(batches))).write.partitionBy("batch").parquet(staged_at)
     staged = spark.read.schema("did bigint, h binary, batch bigint").parquet(staged_at)
-    store = LineRuns(spark, fan_in)
-    for b in range(batches):
-        store.add(staged.where(F.col("batch") == b).select("h", "did"))
-    frequent = common.saved(store.totals().where(F.col("docs") >= min_docs).select("h", "last_doc"), common.work_path(spark, "frequent-lines"))
-    store.drop()
+    frequent_at = common.work_path(spark, "frequent-lines")
+    with LineRuns(spark, fan_in) as store:
+        for b in range(batches):
+            store.add(staged.where(F.col("batch") == b).select("h", "did"))
+        frequent = common.saved(store.totals().where(F.col("docs") >= min_docs).select("h", "docs", "last_doc"), frequent_at)
     common.remove(staged_at)
 
     rid = F.xxhash64(common.text_or_empty())  # with did, tells rows apart whose lines differ
     at = docs.select(did.alias("did"), rid.alias("rid"), F.posexplode(F.transform(_lines(), lambda x: _line_key(x, min_chars))).alias("i", "h")).where("h is not null")
-    gone = at.join(frequent, "h").where(F.col("did") < F.col("last_doc")).groupBy("did", "rid").agg(F.collect_set("i").alias("gone"))
+    gone = common.join_split(at, frequent, "h", "docs").where(F.col("did") < F.col("last_doc")).groupBy("did", "rid").agg(F.collect_set("i").alias("gone"))
     joined = docs.select("doc_id", "text", did.alias("did"), rid.alias("rid")).join(gone.hint("shuffle_hash"), ["did", "rid"], "left")
     lines = joined.select("doc_id", _lines().alias("lines"), "gone").withColumn("n", F.size("lines"))
     left = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("gone"))
