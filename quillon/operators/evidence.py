@@ -63,10 +63,10 @@ def source_components(df: DataFrame, alignment: Column) -> DataFrame:
 
 
 def composite() -> Column:
-    """Weighted positive components less weighted penalties, in 0..1."""
+    """Weighted positive components less weighted penalties, in 0..1, to four decimals: tiers are set from this figure."""
     good = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     bad = sum((F.col(k) * w for k, w in PENALTIES.items()), F.lit(0.0))
-    return clamp(good - bad, 0, 1)
+    return F.round(clamp(good - bad, 0, 1), 4)
 
 
 def source_tier(score: Column, variant: Column, proxy: Column, usable: Column) -> Column:

@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 BANDS = ((0.02, 0.06), (0.06, 0.14), (0.14, 0.3), (0.3, 0.5))
 
 
+#: Fixed value: the stabiliser of the structure term.
+STABLE = 1e-4
+
+
 def gaussian(sigma: float, radius: int) -> np.ndarray:
     k = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     return k / k.sum()
@@ -45,13 +49,25 @@ def laplacian_variance(img: np.ndarray) -> float:
     return float((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:] - 4 * img).var())
 
 
-def band_energy(img: np.ndarray) -> list[float] | None:
-    """Share of the spectrum's energy in each band of radial frequency; null for a flat raster."""
-    power = np.abs(np.fft.fft2(img - img.mean())) ** 2
+def band_energy(img: np.ndarray, valid: np.ndarray | None = None) -> list[float] | None:
+    """Share of the energy in each band of radial frequency of the standardised raster under a Hann window; pixels that are
+    not valid count as the mean. Null with fewer than 64 valid pixels, or where they are flat."""
+    valid = np.ones(img.shape, bool) if valid is None else valid
+    own = img[valid]
+    if own.size < 64 or own.std() < 1e-5:
+        return None
+    standard = np.where(valid, (img - own.mean()) / own.std(), 0.0)
+    power = np.abs(np.fft.fft2(standard * np.outer(np.hanning(img.shape[0]), np.hanning(img.shape[1])))) ** 2
     fy, fx = np.meshgrid(np.fft.fftfreq(img.shape[0]), np.fft.fftfreq(img.shape[1]), indexing="ij")
     radius = np.hypot(fx, fy)
     bands = np.array([power[(radius >= a) & (radius < b)].sum() for a, b in BANDS])
-    return (bands / bands.sum()).tolist() if bands.sum() > 1e-12 else None
+    return (bands / bands.sum()).tolist() if bands.sum() > 1e-6 else None
+
+
+def texture_agreement(a: np.ndarray, b: np.ndarray, valid: np.ndarray | None = None) -> float | None:
+    """1 less half the difference of the two rasters' band energies; null where one has none."""
+    x, y = band_energy(a, valid), band_energy(b, valid)
+    return None if x is None or y is None else float(1 - 0.5 * np.abs(np.array(x) - np.array(y)).sum())
 
 
 def texture_peak(img: np.ndarray) -> tuple[float, float, float]:
@@ -63,12 +79,18 @@ def texture_peak(img: np.ndarray) -> tuple[float, float, float]:
     return float(np.hypot(fx, fy)), float(np.degrees(np.arctan2(fy, fx)) % 180), float(power[k] / max(power.sum(), 1e-12))
 
 
-def structure(a: np.ndarray, b: np.ndarray, sigma: float = 1.5) -> float:
-    """Mean of the structure term of SSIM."""
-    ma, mb = blur(a, sigma), blur(b, sigma)
-    va, vb, cov = blur(a * a, sigma) - ma * ma, blur(b * b, sigma) - mb * mb, blur(a * b, sigma) - ma * mb
-    c = 0.03**2 / 2
-    return float(((cov + c) / (np.sqrt(np.maximum(va, 0) * np.maximum(vb, 0)) + c)).mean())
+def structure(a: np.ndarray, b: np.ndarray, sigma: float = 1.5, valid: np.ndarray | None = None) -> float:
+    """Mean of the structure term of SSIM (11 x 11 windows), clipped to -1..1: over the valid pixels whose whole window is
+    valid, or over all valid ones where there are none such; 0 without a valid pixel."""
+    valid = np.ones(a.shape, bool) if valid is None else valid
+    ma, mb = blur(a, sigma, 5), blur(b, sigma, 5)
+    va, vb, cov = blur(a * a, sigma, 5) - ma * ma, blur(b * b, sigma, 5) - mb * mb, blur(a * b, sigma, 5) - ma * mb
+    term = (cov + STABLE) / (np.sqrt(np.maximum(va, 0) * np.maximum(vb, 0)) + STABLE)
+    h, w = valid.shape
+    framed = np.pad(valid, 5, constant_values=True)  # what lies outside the raster does not count against a window
+    inner = np.logical_and.reduce([framed[y : y + h, x : x + w] for y in range(11) for x in range(11)])
+    region = inner if inner.any() else valid
+    return float(np.clip(term[region], -1, 1).mean()) if region.any() else 0.0
 
 
 def components(mask: np.ndarray) -> np.ndarray:

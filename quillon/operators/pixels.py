@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.scalar import EPSILON
-from quillon.operators.stats import Z_FACTOR, median
+from quillon.functions.scalar import EPSILON, clamp
+from quillon.operators.stats import Z_FACTOR, group_percentiles, median, numbered
 
 
 def explode_rasters(df: DataFrame, frame: str, group: str, values: str, width: int, offset: float = 0.5) -> DataFrame:
@@ -39,8 +39,9 @@ def activation(px: DataFrame, share: float = 0.35, quantile: float = 0.99, floor
 
 def next_frames(frames: DataFrame) -> DataFrame:
     """(grp, f, g): each frame with the one after it in its group."""
-    w = Window.partitionBy("grp").orderBy("frame_id")
-    return frames.select("grp", F.col("frame_id").alias("f"), F.lead("frame_id").over(w).alias("g")).where("g IS NOT NULL")
+    own = numbered(frames.select("grp", "frame_id").distinct(), ["grp"], ["frame_id"], "k")
+    after = own.select("grp", (F.col("k") - 1).alias("k"), F.col("frame_id").alias("g"))
+    return own.join(after, ["grp", "k"]).select("grp", F.col("frame_id").alias("f"), "g")
 
 
 def mask_iou(masks: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -63,12 +64,13 @@ def grid_cell(at: Column, size: int, cells: int = 3) -> Column:
 
 
 def highlight_centroid(px: DataFrame, quantile: float = 0.96, least: int = 4) -> DataFrame:
-    """Weighted centroid of each frame's pixels at or above its quantile (weight: the excess); null with fewer than least."""
-    top = px.groupBy("frame_id", "grp").agg(F.percentile("v", F.lit(quantile)).alias("top"))
+    """Weighted centroid of each frame's pixels at or above its quantile (weight: the excess) and their number; null where
+    the frame has fewer than `least` pixels in all."""
+    top = px.groupBy("frame_id", "grp").agg(F.percentile("v", F.lit(quantile)).alias("top"), F.count("v").alias("size"))
     w = F.greatest(F.col("v") - F.col("top"), F.lit(EPSILON))
     hot = px.join(top, ["frame_id", "grp"]).where("v >= top").groupBy("frame_id", "grp")
-    sums = hot.agg(F.count("*").alias("n"), (F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy"))
-    return sums.select("frame_id", "grp", "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("cx", "cy")])
+    sums = hot.agg(F.count("*").alias("n"), F.max("size").alias("size"), (F.sum(w * F.col("x")) / F.sum(w)).alias("cx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("cy"))
+    return sums.select("frame_id", "grp", "n", *[F.when(F.col("size") >= least, F.col(c)).alias(c) for c in ("cx", "cy")])
 
 
 def gradient(px: DataFrame) -> DataFrame:
@@ -87,7 +89,7 @@ def gradient_axis(grads: DataFrame, by: str) -> DataFrame:
 def temporal_delta(px: DataFrame) -> DataFrame:
     """Mean absolute change of each frame from the one before it in its group. Frames are numbered first, then pixels are
     joined with those of the next frame: both sides are keyed by pixel, none by group."""
-    frames = px.select("grp", "frame_id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("frame_id")))
+    frames = numbered(px.select("grp", "frame_id").distinct(), ["grp"], ["frame_id"], "k")
     own = px.join(frames, ["grp", "frame_id"]).select("grp", "frame_id", "k", "pos", "v")
     before = own.select("grp", (F.col("k") + 1).alias("k"), "pos", F.col("v").alias("u"))
     return own.join(before, ["grp", "k", "pos"]).groupBy("grp", "frame_id").agg(F.avg(F.abs(F.col("v") - F.col("u"))).alias("delta"))
@@ -103,25 +105,45 @@ def trajectory_coherence(centroids: DataFrame) -> DataFrame:
     return steps.groupBy("grp").agg(F.count("len").alias("steps"), F.avg("len").alias("mean_step"), F.avg(turn).alias("turn"))
 
 
+def temporal_coherence(observed: DataFrame, rendered: DataFrame, least_step: float = 1.0) -> DataFrame:
+    """How well the rendered highlight of each group moves as the observed one does: steps scored and their mean score.
+
+    Both are centroids (grp, frame_id, cx, cy); frames without one on either side are left out, the others follow each other
+    by frame_id. A step where neither moves by least_step tells nothing. Others score half for the direction, (1 + cos) / 2
+    (0 where one side stands still), and half for the length, 1 - |difference| / greater length."""
+    both = observed.where("cx IS NOT NULL").select("grp", "frame_id", F.col("cx").alias("ox"), F.col("cy").alias("oy")).join(rendered.where("cx IS NOT NULL").select("grp", "frame_id", F.col("cx").alias("rx"), F.col("cy").alias("ry")), ["grp", "frame_id"])
+    own = numbered(both, ["grp"], ["frame_id"], "k")
+    before = own.select("grp", (F.col("k") + 1).alias("k"), *[F.col(c).alias(f"p{c}") for c in ("ox", "oy", "rx", "ry")])
+    steps = own.join(before, ["grp", "k"]).select("grp", *[(F.col(c) - F.col(f"p{c}")).alias(c) for c in ("ox", "oy", "rx", "ry")])
+    steps = steps.withColumns({"ol": F.hypot("ox", "oy"), "rl": F.hypot("rx", "ry")}).where(F.greatest("ol", "rl") >= least_step)
+    length = 1 - F.least(F.abs(F.col("ol") - F.col("rl")) / (F.greatest("ol", "rl") + EPSILON), F.lit(1.0))
+    cosine = clamp((F.col("ox") * F.col("rx") + F.col("oy") * F.col("ry")) / F.nullif(F.col("ol") * F.col("rl"), F.lit(0.0)), -1, 1)
+    direction = F.when(F.least("ol", "rl") < EPSILON, 0.0).otherwise((1 + cosine) / 2)
+    return steps.groupBy("grp").agg(F.count("*").alias("steps"), F.avg(0.5 * direction + 0.5 * length).alias("coherence"))
+
+
 def nearest_two(points: DataFrame, queries: DataFrame, key: str, values: str, ratio: float = 0.72) -> DataFrame:
-    """For each query its nearest point, its distance, that of the second nearest, and whether their ratio is low enough.
+    """For each query its nearest point (of equal ones the least), its distance, that of the second nearest, and whether
+    their ratio is low enough.
 
-    queries is a stated query set held against all points; both minima are pre-aggregated in every task."""
+    queries is a stated query set held against all points; both minima are pre-aggregated in every task. How the queries
+    and the nearest reach the points is left to the planner, which broadcasts them only under its size limit."""
     q = queries.select(F.col(key).alias("query"), F.col(values).alias("qv"))
     sq = F.aggregate(F.zip_with("pv", "qv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     pairs = points.select(F.col(key).alias("point"), F.col(values).alias("pv")).join(q, F.col("point") != F.col("query")).select("query", F.struct(F.sqrt(sq).alias("d"), "point").alias("s"))
     top = pairs.groupBy("query").agg(F.min("s").alias("a"))
-    second = pairs.join(F.broadcast(top), "query").where("s <> a").groupBy("query").agg(F.min("s.d").alias("d2"))  # top: one row a query
-    joined = top.join(second, "query")
+    second = pairs.join(top, "query").where("s <> a").groupBy("query").agg(F.min("s.d").alias("d2"))
+    joined = top.join(second, "query", "left")
     return joined.select("query", F.col("a.point").alias("point"), F.col("a.d").alias("distance"), "d2", (F.col("a.d") < ratio * F.col("d2")).alias("matched"))
 
 
 def envelope(px: DataFrame, floor: float = 1e-4, limit: float = 3.5, least: int = 3) -> DataFrame:
     """Appearance envelope over sources (grp): median, MAD and spread of each source, outliers by modified z of the medians
     (none with fewer than `least` sources), and the number of inliers."""
-    med = px.groupBy("grp").agg(median(F.col("v")).alias("med"), F.count("*").alias("n"), F.var_pop("v").alias("variance"), F.min("v").alias("low"), F.max("v").alias("high"))
-    mad = px.join(med.select("grp", "med"), "grp").groupBy("grp").agg(median(F.abs(F.col("v") - F.col("med"))).alias("mad"))
-    per = med.join(mad, "grp")
+    sums = px.groupBy("grp").agg(F.count("*").alias("n"), F.var_pop("v").alias("variance"), F.min("v").alias("low"), F.max("v").alias("high"))
+    med = group_percentiles(px, ["grp"], "v", {"med": 0.5})
+    away = px.join(med, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("away"))
+    per = sums.join(med, "grp").join(group_percentiles(away, ["grp"], "away", {"mad": 0.5}), "grp")
     # one row a source from here on
     centre = per.agg(median(F.col("med")).alias("m"), F.count("*").alias("sources"))
     with_m = per.crossJoin(F.broadcast(centre))
@@ -140,11 +162,32 @@ def normals(px: DataFrame, left: Column, right: Column, top: Column, bottom: Col
     return m.select("pos", (F.col("nx") / size).alias("nx"), (F.col("ny") / size).alias("ny"), (1 / size).alias("nz"))
 
 
-def intensity_coherence(levels: DataFrame, index: str, a: str, b: str) -> DataFrame:
-    """Correlation over all pairs of the log differences of two levels, from sums instead of pairs: over pairs i < j the
-    differences have mean-free moments n x covariance, so the correlation of differences is that of the values."""
-    la, lb = F.log(F.col(a) + 0.05), F.log(F.col(b) + 0.05)
-    return levels.agg(F.count(index).alias("n"), F.corr(la, lb).alias("coherence"), (F.stddev_pop(lb) / F.greatest(F.stddev_pop(la), F.lit(EPSILON))).alias("spread_ratio"))
+#: Fixed values of intensity_coherence: offset of the logarithm, least mean level, and least spread of the differences.
+LOG_OFFSET, LEAST_LEVEL, LEAST_SPREAD = 0.05, 0.02, 0.25
+
+
+def intensity_coherence(levels: DataFrame, by: str, source: str, a: str, b: str) -> DataFrame:
+    """Whether two levels of the sources of each group differ alike: over all ordered pairs of sources, the correlation of
+    the differences of their logarithms about the mean difference, times the lesser spread over the greater.
+
+    Null with fewer than 3 sources, where neither level is above the least, or where all sources agree; 0 where one side alone
+    varies. The sums over pairs come from sums over sources: with place i of n, the differences add up to sum((n - 1 - 2 i) x),
+    and their products to n sum(xy) - sum(x) sum(y)."""
+    own = numbered(levels.select(by, source, a, b), [by], [source], "i")
+    own = own.withColumns({"x": F.log(F.col(a) + LOG_OFFSET), "y": F.log(F.col(b) + LOG_OFFSET)})
+    n, turn = F.col("n"), lambda c: F.sum(F.col("i") * F.col(c))
+    sums = own.groupBy(by).agg(F.count("*").alias("n"), F.greatest(F.avg(a), F.avg(b)).alias("level"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), turn("x").alias("ix"), turn("y").alias("iy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"))
+    pairs = n * (n - 1) / 2
+    mean = lambda s, i: ((n - 1) * F.col(s) - 2 * F.col(i)) / pairs
+    moment = lambda v, m, k: n * n * F.col(v) - pairs * m * k
+    mx, my = mean("sx", "ix"), mean("sy", "iy")
+    square = lambda v, m: F.greatest(moment(v, m, m), F.lit(0.0))
+    three = sums.where("n >= 3").withColumns({"xx": square("vx", mx), "yy": square("vy", my), "xy": moment("vxy", mx, my), "pairs": pairs})
+    spread = lambda c: F.sqrt(F.col(c) / F.col("pairs"))
+    low, high = F.least(spread("xx"), spread("yy")), F.greatest(spread("xx"), spread("yy"))
+    score = clamp(F.col("xy") / (F.sqrt(F.col("xx") * F.col("yy")) + EPSILON), -1, 1) * low / (high + EPSILON)
+    told = three.select(by, F.when((F.col("level") < LEAST_LEVEL) | (high < LEAST_SPREAD), None).when(low < 1e-9, 0.0).otherwise(score).alias("coherence"))
+    return sums.select(by, "n").join(told, by, "left")
 
 
 def mask_set(kind: str, a: DataFrame, b: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import EPSILON, clamp
+from quillon.session import shared_folder
 
 Z_FACTOR = 0.6745
 #: Values that global_percentiles brings to the driver at most, and buckets of a round.
@@ -65,9 +66,48 @@ def median(value: Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
+def _placed(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: str | None) -> DataFrame:
+    """Adds _before: the weight (or number) of the rows of the same group that come earlier. Rows are dealt by ranges of
+    (by, order) and numbered within their range; only counts of (group, range) are added up, so no group is in one task."""
+    spark = df.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at = shared_folder(spark, "placed")
+    df.repartitionByRange(parts, *by, *order).withColumn("_cell", F.spark_partition_id()).write.parquet(at)  # ranges are drawn once
+    rows = spark.read.parquet(at)
+    own = F.col(weight) if weight else F.lit(1)
+    earlier = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*by, "_cell").agg(F.sum(own).alias("_w")).select(*by, "_cell", F.coalesce(F.sum("_w").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum(own).over(inside), F.lit(0))).join(cells, [*by, "_cell"])
+    return placed.withColumn("_before", F.col("_start") + F.col("_inside")).drop("_cell", "_start", "_inside")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Adds out, the row's place in its group from 0 by `order`, which must tell the group's rows apart."""
+    return _placed(df, by, order, None).withColumnRenamed("_before", out)
+
+
+def group_percentiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Exact, linearly interpolated percentiles of each group, for groups of any size: by, and a column for each quantile.
+
+    Equal values are counted first; nulls are left out; a group without a value has no row."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_w"))
+    placed = _placed(counts, by, ["_v"], "_w")
+    sizes = placed.groupBy(*by).agg(F.sum("_w").alias("_n"))
+    held = lambda rank: F.max(F.when((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_w")), F.col("_v")))
+    ends = []
+    for name, q in quantiles.items():
+        at = q * (F.col("_n") - 1)
+        ends += [held(F.floor(at)).alias(f"{name}_low"), held(F.ceil(at)).alias(f"{name}_high")]
+    got = placed.join(sizes, list(by)).groupBy(*by, "_n").agg(*ends)
+    part = lambda q: q * (F.col("_n") - 1) - F.floor(q * (F.col("_n") - 1))
+    return got.select(*by, *[(F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * part(q)).alias(name) for name, q in quantiles.items()])
+
+
 def modified_z(df: DataFrame, by: Sequence[str], value: str, floor: float = 1e-4, limit: float = 3.5, least: int = 3) -> DataFrame:
     """Adds med, mad, z and outlier: 0.6745 |value - median| / max(MAD, floor) over each group; groups of fewer than
-    `least` rows have no outliers. Two joins with aggregates, so a group's rows are never together in one task."""
+    `least` rows have no outliers. Groups are expected to have at most some millions of distinct values: each one's are
+    counted in one task (group_percentiles is the way for larger ones)."""
     med = df.groupBy(*by).agg(median(F.col(value)).alias("med"), F.count(value).alias("_n"))
     with_med = df.join(med, list(by))
     mad = with_med.groupBy(*by).agg(median(F.abs(F.col(value) - F.col("med"))).alias("mad"))

@@ -225,7 +225,7 @@ COMPONENTS_SQL = SOURCES_SQL + """, comp AS (SELECT *, CASE WHEN language = 'en'
   CASE WHEN macro THEN 1.0::DOUBLE ELSE 0 END AS mac, MAP {'none': 0.0, 'low': 0.35, 'medium': 0.7, 'high': 1.0, 'unknown': 0.25}[lighting]::DOUBLE AS lit, least(short_side / 1200.0::DOUBLE, 1) AS res,
   MAP {'low': 0.0, 'medium': 0.4, 'high': 0.8, 'unknown': 0.5}[compression]::DOUBLE AS pc, MAP {'low': 0.0, 'medium': 0.5, 'high': 1.0, 'unknown': 0.6}[editing]::DOUBLE AS pe,
   MAP {'low': 0.0, 'medium': 0.5, 'high': 1.0}[proxy]::DOUBLE AS pp FROM sources),
-scored AS (SELECT *, least(greatest(0.22 * variant_confidence + 0.1 * english + 0.14 * vis + 0.1 * ang + 0.08 * mac + 0.08 * lit + 0.1 * res + 0.18 * 0.9 - 0.3 * pc - 0.35 * pe - 0.5 * pp, 0), 1)::DOUBLE AS score FROM comp),
+scored AS (SELECT *, least(greatest(0.22 * variant_confidence + 0.1 * english + 0.14 * vis + 0.1 * ang + 0.08 * mac + 0.08 * lit + 0.1 * res + 0.18 * 0.9 - 0.3 * pc - 0.35 * pe - 0.5 * pp, 0), 1)::DOUBLE AS raw, round(raw, 4) AS score FROM comp),
 tiered AS (SELECT *, CASE WHEN score >= 0.55 AND variant_confidence >= 0.5 AND pp = 0 THEN 'A' WHEN score >= 0.35 AND variant_confidence >= 0.3 AND pp < 1 THEN 'B' ELSE 'C' END AS tier FROM scored)"""
 
 
@@ -379,20 +379,20 @@ def grid_regions(spark, sf):
     return cells.groupBy("frame_id", "cy", "cx").agg(r6(F.avg("v"), "mean"))
 
 
-CENTROID_SQL = PIXELS_SQL + """, q AS (SELECT frame_id, grp, quantile_cont(v, 0.9) AS top FROM px GROUP BY 1, 2), h AS (SELECT px.frame_id, px.grp, x, y, greatest(v - top, 1e-6) AS w FROM px JOIN q USING (frame_id) WHERE v >= top),
-cen AS (SELECT frame_id, grp, count(*) AS n, CASE WHEN count(*) >= 4 THEN sum(w * x) / sum(w) END AS cx, CASE WHEN count(*) >= 4 THEN sum(w * y) / sum(w) END AS cy FROM h GROUP BY 1, 2)"""
+CENTROID_SQL = PIXELS_SQL + """, q AS (SELECT frame_id, grp, quantile_cont(v, 0.96) AS top, count(*) AS size FROM px GROUP BY 1, 2), h AS (SELECT px.frame_id, px.grp, x, y, size, greatest(v - top, 1e-6) AS w FROM px JOIN q USING (frame_id) WHERE v >= top),
+cen AS (SELECT frame_id, grp, count(*) AS n, CASE WHEN max(size) >= 4 THEN sum(w * x) / sum(w) END AS cx, CASE WHEN max(size) >= 4 THEN sum(w * y) / sum(w) END AS cy FROM h GROUP BY 1, 2)"""
 
 
 @query(f"WITH {CENTROID_SQL} SELECT frame_id, n, round(cx, 6) AS cx, round(cy, 6) AS cy FROM cen")
 def highlight_centroid(spark, sf):
-    return px.highlight_centroid(raster_pixels(spark, sf), 0.9).select("frame_id", "n", r6("cx", "cx"), r6("cy", "cy"))
+    return px.highlight_centroid(raster_pixels(spark, sf)).select("frame_id", "n", r6("cx", "cx"), r6("cy", "cy"))
 
 
 @query(f"""WITH {CENTROID_SQL}, s AS (SELECT grp, frame_id, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy FROM cen WINDOW w AS (PARTITION BY grp ORDER BY frame_id)),
 t AS (SELECT grp, dx, dy, sqrt(dx * dx + dy * dy) AS len, lag(dx) OVER w AS px, lag(dy) OVER w AS py FROM s WINDOW w AS (PARTITION BY grp ORDER BY frame_id)), u AS (SELECT *, sqrt(px * px + py * py) AS plen FROM t)
 SELECT grp, count(len) AS steps, round(avg(len), 6) AS mean_step, round(avg(CASE WHEN len > 1e-6 AND plen > 1e-6 THEN (1 + (dx * px + dy * py) / (len * plen)) / 2 END), 6) AS turn FROM u GROUP BY 1""")
 def trajectory_coherence(spark, sf):
-    return px.trajectory_coherence(px.highlight_centroid(raster_pixels(spark, sf), 0.9)).select("grp", "steps", r6("mean_step", "mean_step"), r6("turn", "turn"))
+    return px.trajectory_coherence(px.highlight_centroid(raster_pixels(spark, sf))).select("grp", "steps", r6("mean_step", "mean_step"), r6("turn", "turn"))
 
 
 GRAD_SQL = PIXELS_SQL + """, g AS (SELECT frame_id, pos, y, x, (lead(v) OVER (PARTITION BY frame_id, y ORDER BY x) - lag(v) OVER (PARTITION BY frame_id, y ORDER BY x)) / 2 AS gx, (lead(v) OVER (PARTITION BY frame_id, x ORDER BY y) - lag(v) OVER (PARTITION BY frame_id, x ORDER BY y)) / 2 AS gy FROM px)"""
@@ -422,11 +422,36 @@ def knn_ratio(spark, sf):
     return got.select("query", "point", r6("distance", "distance"), r6("d2", "d2"), "matched")
 
 
-@query(f"""WITH {PIXELS_SQL}, l AS (SELECT frame_id, avg(v) FILTER (pos < 32) AS a, avg(v) FILTER (pos >= 32) AS b FROM px GROUP BY 1)
-SELECT count(*) AS n, round(corr(ln(a + 0.05), ln(b + 0.05)), 6) AS coherence, round(stddev_pop(ln(b + 0.05)) / stddev_pop(ln(a + 0.05)), 6) AS spread_ratio FROM l""")
+@query(f"""WITH {PIXELS_SQL}, f AS (SELECT grp, frame_id, greatest(quantile_cont(v, 0.995) FILTER (pos < 32) - 0.5, 0) AS a, greatest(quantile_cont(v, 0.995) FILTER (pos >= 32) - 0.5, 0) AS b FROM px GROUP BY 1, 2),
+d AS (SELECT s.grp, ln(s.a + 0.05) - ln(t.a + 0.05) AS p, ln(s.b + 0.05) - ln(t.b + 0.05) AS q FROM f s JOIN f t ON s.grp = t.grp AND s.frame_id < t.frame_id),
+m AS (SELECT grp, avg(p) AS mp, avg(q) AS mq FROM d GROUP BY 1),
+c AS (SELECT grp, sum((p - mp) * (q - mq)) AS pq, sum((p - mp) * (p - mp)) AS pp, sum((q - mq) * (q - mq)) AS qq, count(*) AS k FROM d JOIN m USING (grp) GROUP BY 1),
+s AS (SELECT grp, count(*) AS n, greatest(avg(a), avg(b)) AS level FROM f GROUP BY 1),
+e AS (SELECT grp, n, level, pq, pp, qq, least(sqrt(pp / k), sqrt(qq / k)) AS low, greatest(sqrt(pp / k), sqrt(qq / k)) AS high FROM s LEFT JOIN c USING (grp))
+SELECT grp, n, round(CASE WHEN n < 3 OR level < 0.02 OR high < 0.25 THEN NULL WHEN low < 1e-9 THEN 0 ELSE least(greatest(pq / (sqrt(pp * qq) + 1e-6), -1), 1) * low / (high + 1e-6) END, 6) AS coherence FROM e""")
 def pairwise_coherence(spark, sf):
-    levels = raster_pixels(spark, sf).groupBy("frame_id").agg(F.avg(F.when(F.col("pos") < 32, F.col("v"))).alias("a"), F.avg(F.when(F.col("pos") >= 32, F.col("v"))).alias("b"))
-    return px.intensity_coherence(levels, "frame_id", "a", "b").select("n", r6("coherence", "coherence"), r6("spread_ratio", "spread_ratio"))
+    peak = lambda half: F.greatest(F.percentile(F.when(half, F.col("v")), F.lit(0.995)) - 0.5, F.lit(0.0))
+    levels = raster_pixels(spark, sf).groupBy("grp", "frame_id").agg(peak(F.col("pos") < 32).alias("a"), peak(F.col("pos") >= 32).alias("b"))
+    return px.intensity_coherence(levels, "grp", "frame_id", "a", "b").select("grp", "n", r6("coherence", "coherence"))
+
+
+TWO_PATHS_SQL = PIXELS_SQL + """, two AS (SELECT p.frame_id, p.grp, p.x, p.y, p.v AS o, (p.v + m.v) / 2 AS r FROM px p JOIN px m ON p.frame_id = m.frame_id AND m.pos = 63 - p.pos),
+t AS (SELECT frame_id, quantile_cont(o, 0.96) AS ot, quantile_cont(r, 0.96) AS rt FROM two GROUP BY 1),
+c AS (SELECT grp, frame_id, sum(greatest(o - ot, 1e-6) * x) FILTER (o >= ot) / sum(greatest(o - ot, 1e-6)) FILTER (o >= ot) AS ox, sum(greatest(o - ot, 1e-6) * y) FILTER (o >= ot) / sum(greatest(o - ot, 1e-6)) FILTER (o >= ot) AS oy,
+  sum(greatest(r - rt, 1e-6) * x) FILTER (r >= rt) / sum(greatest(r - rt, 1e-6)) FILTER (r >= rt) AS rx, sum(greatest(r - rt, 1e-6) * y) FILTER (r >= rt) / sum(greatest(r - rt, 1e-6)) FILTER (r >= rt) AS ry FROM two JOIN t USING (frame_id) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {TWO_PATHS_SQL}, s AS (SELECT grp, ox - lag(ox) OVER w AS ax, oy - lag(oy) OVER w AS ay, rx - lag(rx) OVER w AS bx, ry - lag(ry) OVER w AS by_ FROM c WINDOW w AS (PARTITION BY grp ORDER BY frame_id)),
+l AS (SELECT *, sqrt(ax * ax + ay * ay) AS al, sqrt(bx * bx + by_ * by_) AS bl FROM s WHERE ax IS NOT NULL),
+g AS (SELECT grp, 0.5 * (1 - least(abs(al - bl) / (greatest(al, bl) + 1e-6), 1)) + 0.5 * CASE WHEN least(al, bl) < 1e-6 THEN 0 ELSE (1 + least(greatest((ax * bx + ay * by_) / (al * bl), -1), 1)) / 2 END AS score FROM l WHERE NOT (al < 1 AND bl < 1))
+SELECT grp, count(*) AS steps, round(avg(score), 6) AS coherence FROM g GROUP BY 1""")
+def temporal_coherence(spark, sf):
+    """Each raster's highlight against that of its mean with its own half turn."""
+    own = raster_pixels(spark, sf)
+    turned = own.select("frame_id", (63 - F.col("pos")).alias("pos"), F.col("v").alias("u"))
+    rendered = own.join(turned, ["frame_id", "pos"]).withColumn("v", (F.col("v") + F.col("u")) / 2).drop("u")
+    got = px.temporal_coherence(px.highlight_centroid(own), px.highlight_centroid(rendered))
+    return got.select("grp", "steps", r6("coherence", "coherence"))
 
 
 @query(f"""WITH {PIXELS_SQL}, f AS (SELECT grp, frame_id, row_number() OVER (PARTITION BY grp ORDER BY frame_id) AS k FROM (SELECT DISTINCT grp, frame_id FROM px)), o AS (SELECT px.*, k FROM px JOIN f USING (grp, frame_id))
@@ -579,4 +604,4 @@ def windowed_counts_stream(spark, sf):
     return spark.read.parquet(f"{root}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from quillon.plans import catalog_more  # noqa: E402, F401  registers its queries
+from quillon.plans import catalog_ledgers, catalog_more  # noqa: E402, F401  register their queries

@@ -30,7 +30,7 @@ def region_fit_metrics(spark, sf):
 SELECT p.f, p.g, round(CASE WHEN a.cx IS NULL AND b.cx IS NULL THEN 0 WHEN a.cx IS NULL OR b.cx IS NULL THEN 1 ELSE sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) / 10.0 END, 6) AS centroid_error
 FROM pairs p LEFT JOIN cen a ON a.frame_id = p.f LEFT JOIN cen b ON b.frame_id = p.g""")
 def highlight_centroid_error(spark, sf):
-    got = metrics.centroid_error(next_pairs(spark, sf), px.highlight_centroid(raster_pixels(spark, sf), 0.9), 10.0)
+    got = metrics.centroid_error(next_pairs(spark, sf), px.highlight_centroid(raster_pixels(spark, sf)), 10.0)
     return got.select("f", "g", r6("centroid_error", "centroid_error"))
 
 
