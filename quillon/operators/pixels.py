@@ -173,10 +173,10 @@ def intensity_coherence(levels: DataFrame, by: str, source: str, a: str, b: str)
     Null with fewer than 3 sources, where neither level is above the least, or where all sources agree; 0 where one side alone
     varies. The sums over pairs come from sums over sources: with place i of n, the differences add up to sum((n - 1 - 2 i) x),
     and their products to n sum(xy) - sum(x) sum(y)."""
-    own = numbered(levels.select(by, source, a, b), [by], [source], "i")
-    own = own.withColumns({"x": F.log(F.col(a) + LOG_OFFSET), "y": F.log(F.col(b) + LOG_OFFSET)})
-    n, turn = F.col("n"), lambda c: F.sum(F.col("i") * F.col(c))
-    sums = own.groupBy(by).agg(F.count("*").alias("n"), F.greatest(F.avg(a), F.avg(b)).alias("level"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), turn("x").alias("ix"), turn("y").alias("iy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"))
+    own = numbered(levels.select(by, F.col(source).alias("_source"), F.col(a).alias("_a"), F.col(b).alias("_b")), [by], ["_source"], "_i")
+    own = own.withColumns({"x": F.log(F.col("_a") + LOG_OFFSET), "y": F.log(F.col("_b") + LOG_OFFSET)})
+    n, turn = F.col("n"), lambda c: F.sum(F.col("_i") * F.col(c))
+    sums = own.groupBy(by).agg(F.count("*").alias("n"), F.greatest(F.avg("_a"), F.avg("_b")).alias("level"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), turn("x").alias("ix"), turn("y").alias("iy"), F.var_pop("x").alias("vx"), F.var_pop("y").alias("vy"), F.covar_pop("x", "y").alias("vxy"))
     pairs = n * (n - 1) / 2
     mean = lambda s, i: ((n - 1) * F.col(s) - 2 * F.col(i)) / pairs
     moment = lambda v, m, k: n * n * F.col(v) - pairs * m * k
