@@ -1,5 +1,7 @@
 """Byte-level BPE: ids as tiktoken gives them and an exact round trip."""
 
+import random
+
 import numpy as np
 import public_tokenizers
 import tiktoken
@@ -39,3 +41,13 @@ def test_any_text(texts):
     got = codec.encode_run(pa.array(texts))
     assert [list(x) for x in got] == [enc.encode_ordinary(t) for t in texts]
     assert codec.decode_run(got) == [t.encode() for t in texts]
+
+
+def test_long_words_and_every_byte(spark):
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdefghij") for _ in range(3000)), "é" * 1200, "a" * 2500, "".join(map(chr, range(1, 0x250))), "\x00\x00 \x00a", "".join(chr(rng.randrange(0x110000 - 0x800) % 0xD800) for _ in range(500)), "  \n\n  x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in byte_bpe.round_trip(docs, PATH).collect()}
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == enc.encode_ordinary(t) and bytes(got[i].body) == t.encode()
