@@ -66,7 +66,7 @@ def composite() -> Column:
     """Weighted positive components less weighted penalties, in 0..1, to four decimals: tiers are set from this figure."""
     good = sum((F.col(k) * w for k, w in WEIGHTS.items()), F.lit(0.0))
     bad = sum((F.col(k) * w for k, w in PENALTIES.items()), F.lit(0.0))
-    return F.round(clamp(good - bad, 0, 1), 4)
+    return F.round(F.round(clamp(good - bad, 0, 1), 9), 4)  # ties are told after the noise of sums is gone
 
 
 def source_tier(score: Column, variant: Column, proxy: Column, usable: Column) -> Column:
