@@ -225,7 +225,7 @@ COMPONENTS_SQL = SOURCES_SQL + """, comp AS (SELECT *, CASE WHEN language = 'en'
   CASE WHEN macro THEN 1.0::DOUBLE ELSE 0 END AS mac, MAP {'none': 0.0, 'low': 0.35, 'medium': 0.7, 'high': 1.0, 'unknown': 0.25}[lighting]::DOUBLE AS lit, least(short_side / 1200.0::DOUBLE, 1) AS res,
   MAP {'low': 0.0, 'medium': 0.4, 'high': 0.8, 'unknown': 0.5}[compression]::DOUBLE AS pc, MAP {'low': 0.0, 'medium': 0.5, 'high': 1.0, 'unknown': 0.6}[editing]::DOUBLE AS pe,
   MAP {'low': 0.0, 'medium': 0.5, 'high': 1.0}[proxy]::DOUBLE AS pp FROM sources),
-scored AS (SELECT *, least(greatest(0.22 * variant_confidence + 0.1 * english + 0.14 * vis + 0.1 * ang + 0.08 * mac + 0.08 * lit + 0.1 * res + 0.18 * 0.9 - 0.3 * pc - 0.35 * pe - 0.5 * pp, 0), 1)::DOUBLE AS raw, round(round(raw, 9), 4) AS score FROM comp),
+scored AS (SELECT *, least(greatest(0.22 * variant_confidence + 0.1 * english + 0.14 * vis + 0.1 * ang + 0.08 * mac + 0.08 * lit + 0.1 * res + 0.18 * 0.9 - 0.3 * pc - 0.35 * pe - 0.5 * pp, 0), 1)::DOUBLE AS raw, round(raw::DECIMAL(12, 9), 4)::DOUBLE AS score FROM comp),
 tiered AS (SELECT *, CASE WHEN score >= 0.55 AND variant_confidence >= 0.5 AND pp = 0 THEN 'A' WHEN score >= 0.35 AND variant_confidence >= 0.3 AND pp < 1 THEN 'B' ELSE 'C' END AS tier FROM scored)"""
 
 
