@@ -262,7 +262,8 @@ def jaccard_groups(docs: DataFrame, threshold: float = THRESHOLD, words: int = W
 
     # one row of each class goes on, to the buckets of its bands; of buckets with the same members one is left
     blocks_of = lambda n, grams: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(grams / BLOCK_GRAMS))
-    leads = signed.select("rid", "grams", "bands").join(classes.select("rid"), "rid", "left_semi")
+    leads = signed.select("rid", "grams", "bands").join(classes.select("rid").hint("shuffle_hash"), "rid", "left_semi")
+    leads = common.saved(leads, f"{at}/leads")  # read twice below
     placed = leads.select("rid", "grams", F.explode("bands").alias("bucket"))
     sizes = placed.groupBy("bucket").agg(F.min("rid").alias("least"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("rid")).alias("who"), F.sum("grams").alias("grams")).where("n > 1")
     distinct = sizes.groupBy("least", "n", "who", "grams").agg(F.min("bucket").alias("bucket"))
