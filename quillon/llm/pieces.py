@@ -73,7 +73,7 @@ def slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
 
 
 def _classes() -> np.ndarray:
-    """0: ASCII white space, 1: letter, 2: digit, 3: other printable ASCII, 4: the rest, next to which nothing is cut."""
+    """0: ASCII white space, 1: letter, 2: digit, 3: other printable ASCII, 4: the rest, next to which nothing is cut but before white space."""
     out = np.full(256, 4, np.uint8)
     out[33:127] = 3
     for low, high, kind in ((9, 13, 0), (32, 32, 0), (48, 57, 2), (65, 90, 1), (97, 122, 1)):
@@ -84,9 +84,16 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 
 
+def _spaced(data: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the last bytes of characters beyond ASCII, those whose character's first byte rules out that it is white space."""
+    two, three, four = (data[last - k] for k in (1, 2, 3))  # a place before the start is that of a last byte, never of a first one
+    return last[((two >= 0xC3) & (two < 0xE0)) | ((three >= 0xE4) & (three < 0xF0)) | (four >= 0xF0)]
+
+
 def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Cuts texts before white space that follows something else, and between ASCII letters, digits and punctuation (but
-    not after an apostrophe that a letter follows): no match of the tokenizers' word patterns crosses such a place.
+    """Cuts texts before ASCII white space that follows something else (beyond ASCII: only where _spaced tells so), and
+    between ASCII letters, digits and punctuation (but not after an apostrophe that a letter follows): no match of the
+    tokenizers' word patterns crosses such a place.
 
     fold: plain ASCII pieces are lower-cased and white space becomes spaces. whole: texts that contain this string are not cut.
     Returns for each piece the number of its distinct piece, the distinct pieces, and for each text its number of pieces.
@@ -104,13 +111,17 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
     left, right = kind[:-1], kind[1:]
     mark = np.ones(len(data), bool)
     mark[1:] = (left != right) & (left < 4) & (right < 4) & (left != 0) & ~((data[:-1] == 39) & (right == 1))
+    mark[_spaced(data, np.flatnonzero((left == 4) & (right == 0))) + 1] = True
     mark[off[:-1][off[:-1] < len(data)]] = True
     starts = np.flatnonzero(mark)
     counts = np.searchsorted(starts, off[1:]) - np.searchsorted(starts, off[:-1])
     bounds = np.append(starts, len(data))
     if fold:
-        plain = ~np.logical_or.reduceat(kind == 4, starts)
-        upper = (data >= 65) & (data <= 90) & np.repeat(plain, np.diff(bounds))
-        data = np.where(kind == 0, np.uint8(32), data + (upper.view(np.uint8) << 5))
+        plain = np.ones(len(starts), bool)
+        plain[np.searchsorted(starts, np.flatnonzero(kind == 4), side="right") - 1] = False
+        upper = np.flatnonzero((data >= 65) & (data <= 90))
+        upper = upper[plain[np.searchsorted(starts, upper, side="right") - 1]]
+        data = np.where(kind == 0, np.uint8(32), data)
+        data[upper] += 32
     coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
