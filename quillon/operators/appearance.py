@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import EPSILON, clamp, signed_angle, wrap_degrees
-from quillon.operators.stats import circular_correlation, circular_mean, weighted_step_quantile
+from quillon.operators.stats import Z_FACTOR, circular_correlation, circular_mean, group_percentiles, weighted_step_quantile
 
 
 def hue_range(sources: DataFrame, by: str, trim: float = 0.1) -> DataFrame:
@@ -24,6 +24,37 @@ def hue_range(sources: DataFrame, by: str, trim: float = 0.1) -> DataFrame:
     return sources.select(by).distinct().join(told, by, "left").na.fill(0.0, ["dominant", "min_deg", "max_deg", "coverage"])
 
 
+#: Fixed values of source_exclusions: pixels of a source at least, and the greatest share of them that may be clipped.
+SOURCE_PIXELS, CLIPPED_SHARE = 16, 0.35
+
+
+def source_exclusions(sources: DataFrame, by: str, floor: float = 1e-4, limit: float = 3.5, least: int = 3) -> DataFrame:
+    """Adds z and reason: why a source takes no part in its region's envelope (null: it does).
+
+    sources: one row for each region (by) and source, with pixels, clipped (a share) and med (its median level). Sources with
+    few pixels ("few_pixels") or too many clipped ones ("clipped") go first and have no z; the modified z of the medians of
+    those left tells "outlier", in regions that have at least `least` of them. A null count or share is no reason; a source
+    without a median has no z, and a null region none either."""
+    early = F.when(F.col("pixels") < SOURCE_PIXELS, "few_pixels").when(F.col("clipped") > CLIPPED_SHARE, "clipped")
+    own = sources.withColumn("_early", early)
+    usable = own.where("_early IS NULL AND med IS NOT NULL").select(by, "med")
+    centre = group_percentiles(usable, [by], "med", {"_m": 0.5})
+    away = usable.join(centre, by).select(by, F.abs(F.col("med") - F.col("_m")).alias("_away"))
+    spread = group_percentiles(away, [by], "_away", {"_s": 0.5}).join(usable.groupBy(by).agg(F.count("*").alias("_n")), by)
+    z = F.when(F.col("_early").isNull() & (F.col("_n") >= least), Z_FACTOR * F.abs(F.col("med") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(floor)))
+    told = own.join(centre.join(spread, by), by, "left").withColumn("z", z)
+    return told.withColumn("reason", F.coalesce("_early", F.when(F.col("z") > limit, "outlier"))).drop("_early", "_m", "_s", "_n")
+
+
+def direction(tilt_x: Column, tilt_y: Column, activity: Column) -> Column:
+    """Struct (x, y, strength), each 0..1: the unit vector of the sines of the angles (degrees) at which a pixel is brightest
+    on both tilts, around 0.5. A tilt that was not measured (null) counts as 0; without any direction it is that of x. A null activity has no strength."""
+    x, y = (F.sin(F.radians(F.coalesce(t, F.lit(0.0)))) for t in (tilt_x, tilt_y))
+    size = F.hypot(x, y)
+    part = lambda v, none: clamp(F.when(size > EPSILON, v / F.greatest(size, F.lit(EPSILON))).otherwise(none) * 0.5 + 0.5, 0, 1)
+    return F.struct(part(x, 1.0).alias("x"), part(y, 0.0).alias("y"), F.when(activity.isNotNull(), clamp(activity, 0, 1)).alias("strength"))
+
+
 #: Fixed values of hue_order: pixels of a region at least, bins, and the resultant above which hues count as one.
 REGION_PIXELS, HUE_BINS, ONE_HUE = 48, 10, 0.995
 

@@ -141,3 +141,30 @@ def texture_of_next(spark, sf):
     pairs = px.next_frames(e.select(F.col("vec_id").alias("frame_id"), F.col("label").alias("grp")))
     both = pairs.join(e.select(F.col("vec_id").alias("f"), F.col("embedding").alias("a")), "f").join(e.select(F.col("vec_id").alias("g"), F.col("embedding").alias("b")), "g")
     return both.select("f", "g", F.round(imaging.per_pair(imaging.texture_agreement, "double", F.col("a"), F.col("b"), 8), 6).alias("agreement"))
+
+
+@query(f"""WITH {PIXELS_SQL}, s AS (SELECT grp, frame_id, count(*) AS pixels, avg(CASE WHEN v >= 0.65 THEN 1.0 ELSE 0.0 END) AS clipped, median(v) AS med FROM px WHERE v > 0.55 GROUP BY 1, 2),
+e AS (SELECT *, CASE WHEN pixels < 16 THEN 'few_pixels' WHEN clipped > 0.35 THEN 'clipped' END AS early FROM s),
+c AS (SELECT grp, median(med) AS m, count(*) AS n FROM e WHERE early IS NULL GROUP BY 1),
+d AS (SELECT grp, median(abs(med - m)) AS sp FROM e JOIN c USING (grp) WHERE early IS NULL GROUP BY 1),
+z AS (SELECT e.*, CASE WHEN early IS NULL AND n >= 3 THEN 0.6745 * abs(med - m) / greatest(sp, 1e-4) END AS z FROM e LEFT JOIN c USING (grp) LEFT JOIN d USING (grp))
+SELECT grp, frame_id, pixels, round(clipped, 6) AS clipped, round(med, 6) AS med, round(z, 4) AS z, coalesce(early, CASE WHEN z > 3.5 THEN 'outlier' END) AS reason FROM z""")
+def envelope_exclusions(spark, sf):
+    """Which rasters take no part in the envelope of their label's bright pixels, and why."""
+    bright = raster_pixels(spark, sf).where("v > 0.55").groupBy("grp", "frame_id")
+    per = bright.agg(F.count("*").alias("pixels"), F.avg(F.when(F.col("v") >= 0.65, 1.0).otherwise(0.0)).alias("clipped"), F.percentile("v", 0.5).alias("med"))
+    got = appearance.source_exclusions(per, "grp")
+    return got.select("grp", "frame_id", "pixels", r6("clipped", "clipped"), r6("med", "med"), F.round("z", 4).alias("z"), "reason")
+
+
+@query(f"""WITH {PIXELS_SQL}, t AS (SELECT pos, CASE WHEN pos % 9 > 0 THEN arg_max((frame_id % 7 - 3) * 10, (v, -frame_id)) FILTER (grp % 2 = 0) END AS a, arg_max((frame_id % 5 - 2) * 10, (v, -frame_id)) FILTER (grp % 2 = 1) AS b, max(v) - min(v) AS act FROM px GROUP BY 1),
+w AS (SELECT pos, sin(radians(coalesce(a, 0))) AS x, sin(radians(coalesce(b, 0))) AS y, act FROM t), n AS (SELECT *, sqrt(x * x + y * y) AS size FROM w)
+SELECT pos, round(CASE WHEN size > 1e-6 THEN x / size ELSE 1 END * 0.5 + 0.5, 6) AS x, round(CASE WHEN size > 1e-6 THEN y / size ELSE 0 END * 0.5 + 0.5, 6) AS y, round(least(greatest(act, 0), 1), 6) AS strength FROM n""")
+def direction_map(spark, sf):
+    """Direction of each pixel from the angles of its brightest frames on two tilts, one of them not measured everywhere."""
+    rows = raster_pixels(spark, sf)
+    angle = lambda k, m: ((F.col("frame_id") % m - k) * 10).cast("double")
+    at = lambda side, a: F.max_by(a, F.when(F.col("grp") % 2 == side, F.struct("v", -F.col("frame_id"))))
+    peaks = rows.groupBy("pos").agg(at(0, angle(3, 7)).alias("a"), at(1, angle(2, 5)).alias("b"), (F.max("v") - F.min("v")).alias("act"))
+    peaks = peaks.withColumn("d", appearance.direction(F.when(F.col("pos") % 9 > 0, F.col("a")), F.col("b"), F.col("act")))
+    return peaks.select("pos", *[r6(F.col(f"d.{c}"), c) for c in ("x", "y", "strength")])
