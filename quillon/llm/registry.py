@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
+from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc_convert.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
