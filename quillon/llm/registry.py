@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_join, secret_scan, sharding, token_store, warc_convert
+from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_join, secret_scan, sharding, substring_dedup, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_substring_dedup": substring_dedup.op12_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op10_secret_scan": secret_scan.ORACLE,
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op12_substring_dedup": substring_dedup.ORACLE,
 }
