@@ -1,7 +1,9 @@
 """Token ids of texts by way of their pieces: what a text repeats is encoded once.
 
 A text is cut into pieces at places where the tokenizer's own splitting never looks across. A piece's ids are kept in a
-table of bounded size that lives as long as the Python worker, and a batch of texts is a gather from that table.
+table that lives as long as the Python worker, and a batch of texts is a gather from that table. The table starts anew before it
+has more than so many pieces or bytes. A long piece (a text without spaces, such as Chinese or minified code, is one) hardly comes
+again: it is encoded where it stands and not kept.
 """
 
 from __future__ import annotations
@@ -12,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces kept before the table starts anew; bytes of text handled at once.
-MOST_PIECES, SLICE_BYTES = 1_000_000, 8_000_000
+#: Pieces and bytes (of keys, at four a character, and ids) kept before the table starts anew; bytes of text handled at once.
+MOST_PIECES, MOST_BYTES, SLICE_BYTES = 1_000_000, 64_000_000, 8_000_000
+#: Characters of a piece that is kept at most.
+LONGEST = 128
 
 
 def gather(ids: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,33 +32,45 @@ def gather(ids: np.ndarray, ends: np.ndarray, slots: np.ndarray) -> tuple[np.nda
 class PieceTable:
     """piece -> ids, as slices of one flat array. encode gives the ids of pieces, one after the other, and their number for each."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, most: int = MOST_PIECES):
-        self.encode, self.dtype, self.most = encode, dtype, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype=np.uint16, most: int = MOST_PIECES, most_bytes: int = MOST_BYTES):
+        self.encode, self.dtype, self.most, self.most_bytes = encode, dtype, most, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
+        self.bytes = 0
         self.ids = np.zeros(1 << 16, self.dtype)
         self.ends = np.zeros(1 << 12, np.int64)  # ends[k], ends[k + 1]: the slice of piece k
 
+    def _put(self, pieces: list[str], k: int) -> int:
+        """Encodes pieces into the slots from k on; returns the bytes of their ids."""
+        flat, lens = self.encode(pieces)
+        end = int(self.ends[k])
+        if len(self.ids) < end + len(flat):
+            self.ids = np.concatenate([self.ids[:end], np.zeros(max(len(flat), end), self.dtype)])
+        if len(self.ends) < k + len(pieces) + 1:
+            self.ends = np.concatenate([self.ends[: k + 1], np.zeros(max(len(pieces), k), np.int64)])
+        self.ids[end : end + len(flat)] = flat
+        self.ends[k + 1 : k + len(pieces) + 1] = end + np.cumsum(lens)
+        return len(flat) * self.ids.itemsize
+
     def slots(self, pieces: list[str]) -> np.ndarray:
-        """The slot of each piece; new ones are encoded, all at once."""
-        new = [p for p in pieces if p not in self.at]
-        if len(self.at) + len(new) > self.most and self.at:
+        """The slot of each of the pieces, all distinct, until slots are asked for again; new ones are encoded, all at once."""
+        brief = [p for p in pieces if len(p) <= LONGEST]
+        new = [p for p in brief if p not in self.at]
+        if self.at and (len(self.at) + len(new) > self.most or self.bytes + 4 * sum(map(len, new)) > self.most_bytes):
             self.clear()
-            new = pieces
+            new = brief
         if new:
-            flat, lens = self.encode(new)
             k = len(self.at)
-            end = self.ends[k]
-            while len(self.ids) < end + len(flat):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.ends) < k + len(new) + 1:
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[end : end + len(flat)] = flat
-            self.ends[k + 1 : k + len(new) + 1] = end + np.cumsum(lens)
+            self.bytes += 4 * sum(map(len, new)) + self._put(new, k)
             self.at.update(zip(new, range(k, k + len(new)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        if len(brief) == len(pieces):
+            return np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        long = [p for p in pieces if len(p) > LONGEST]
+        self._put(long, len(self.at))  # past the pieces kept: the next ones go over them
+        passing = dict(zip(long, range(len(self.at), len(self.at) + len(long)), strict=True))
+        return np.fromiter((passing[p] if len(p) > LONGEST else self.at[p] for p in pieces), np.int64, len(pieces))
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the slots one after the other, and their number for each slot."""

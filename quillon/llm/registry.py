@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_join, secret_scan, sharding, substring_dedup, token_store, warc_convert
+from . import byte_bpe, decontaminate, exact_dedup, hard_negatives, language_id, line_dedup, ngram_join, secret_scan, sharding, substring_dedup, token_alignment, token_store, warc_convert
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_substring_dedup": substring_dedup.op12_substring_dedup,
+    "op13_token_alignment": token_alignment.op13_token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE,

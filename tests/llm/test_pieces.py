@@ -2,13 +2,14 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
 from quillon.llm import byte_bpe, token_store
-from quillon.llm.pieces import split_pieces
+from quillon.llm.pieces import LONGEST, PieceTable, split_pieces
 
 BPE, WORD = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 #: White space of one to three bytes, letters of two to four, marks that compose, and letters whose lower case is special.
@@ -39,3 +40,27 @@ def test_where_texts_are_cut():
 
     assert cut("été né, 語 😀 x") == ["été", " né,", " 語", " 😀", " x"]
     assert cut("a\xa0 b") == ["a\xa0 b"] and cut("　 b \n") == ["　 b \n"]
+
+
+def one_id_a_character(pieces):
+    lens = np.array([len(p) for p in pieces], np.int64)
+    return np.array([ord(c) for p in pieces for c in p], np.int64), lens
+
+
+def test_slots_give_the_ids_of_every_piece():
+    rng = random.Random(3)
+    table = PieceTable(one_id_a_character, np.uint32, most=40, most_bytes=2000)
+    for _ in range(200):
+        pieces = list({"".join(rng.choice("ab語") for _ in range(rng.choice([0, 1, 3, 8, LONGEST, LONGEST + 1, 500]))) for _ in range(rng.randrange(12))})
+        ids, lens = table.gather(table.slots(pieces))
+        assert "".join(map(chr, ids)) == "".join(pieces) and lens.tolist() == list(map(len, pieces))
+        assert len(table.at) <= 40 + 12 and all(len(p) <= LONGEST for p in table.at)
+
+
+def test_unspaced_texts_do_not_fill_the_table():
+    table, rng = PieceTable(one_id_a_character, np.uint32, most_bytes=4_000_000), np.random.default_rng(5)
+    for _ in range(100):  # 10,000 texts of 600 characters, no two alike, and as many pieces of 100: 28 MB
+        block = rng.integers(0x4E00, 0x9F00, 60_000).astype(np.uint32).tobytes().decode("utf-32-le")
+        texts = [block[k : k + 600] for k in range(0, 60_000, 600)] + [block[k : k + 100] for k in range(0, 10_000, 100)]
+        table.gather(table.slots(texts))
+        assert table.bytes <= 4_000_000 and table.ids.nbytes < 8_000_000 and sum(map(len, table.at)) <= 1_000_000
