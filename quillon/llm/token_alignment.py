@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,8 +36,9 @@ from .pieces import PieceTable, gather, slices, split_pieces
 
 #: Bytes of text and tokens handled at once; links expanded at once; groups with more links are expanded by distinct ids.
 RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 2_000_000, 500_000, 4_000_000, 4096
+#: Pieces of texts whose ids a worker keeps.
+MOST_PIECES = 250_000
 SPACE = "\u2581"
-LOW_BAR = SPACE.encode()
 
 
 def byte_characters() -> dict[str, int]:
@@ -48,21 +49,18 @@ def byte_characters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Ids of texts and bytes of ids. encode: the ids of pieces; cut: cuts texts into pieces that may be encoded apart."""
+    """Ids of texts and bytes of ids. encode: the ids of texts one after the other, and their number for each."""
 
-    def __init__(self, tokens: list[bytes], encode, cut):
-        self.size = len(tokens)
+    def __init__(self, tokens: list[bytes], encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
+        self.size, self.encode = len(tokens), encode
         self.body = np.frombuffer(b"".join(tokens), np.uint8)
         self.ends = np.cumsum([0, *map(len, tokens)])
         self.lens = np.diff(self.ends)
         self.dtype = np.uint16 if self.size <= 2**16 else np.uint32
-        self.cut, self.table = cut, PieceTable(encode, self.dtype)
 
     def lists(self, texts: pa.Array) -> pa.ListArray:
-        which, pieces, counts = self.cut(texts)
-        ids, lens = self.table.gather(self.table.slots(pieces)[which] if pieces else np.zeros(0, np.int64))
-        done = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))]
-        return pa.ListArray.from_arrays(done.astype(np.int32), pa.array(ids))
+        ids, lens = self.encode(texts)
+        return pa.ListArray.from_arrays(np.append(0, np.cumsum(lens)).astype(np.int32), pa.array(ids.astype(self.dtype)))
 
     def spells(self, lists: pa.ListArray, bodies: list[bytes]) -> np.ndarray:
         """Whether the tokens' bytes of each list are the body."""
@@ -77,13 +75,10 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter((x for ids in lists for x in ids), np.int64, int(lens.sum())), lens
 
 
-def _whole(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    return np.arange(len(texts)), texts.to_pylist(), np.ones(len(texts), np.int64)
-
-
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Vocabulary:
-    """A byte-level BPE of the tokenizers library, for texts with a space before them."""
+    """A byte-level BPE of the tokenizers library, for texts with a space before them. Where its rules are those for which
+    texts may be cut into pieces, a piece that comes again is not encoded again."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -91,31 +86,21 @@ def byte_level(path: str) -> Vocabulary:
     tokenizer.encode_special_tokens = True
     chars = byte_characters()
     spelled = {i: bytes(chars[c] for c in t) if all(c in chars for c in t) else t.encode() for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    with open(path, encoding="utf-8") as src:
-        rules = json.load(src)
-    known = rules.get("normalizer") is None and rules["pre_tokenizer"].get("use_regex") and rules["pre_tokenizer"]["type"] == "ByteLevel" and not rules["pre_tokenizer"].get("add_prefix_space")
+    rules = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    known = tokenizer.normalizer is None and rules.get("type") == "ByteLevel" and rules.get("use_regex") and not rules.get("add_prefix_space")
     encode = lambda pieces: _flat([e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-    return Vocabulary([spelled.get(i, b"") for i in range(max(spelled) + 1)], encode, (lambda texts: split_pieces(texts, fold=False)) if known else _whole)
-
-
-def split_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Cuts texts that begin with a space before every space that follows something else, and leaves one space out of each
-    piece: the vocabulary puts it back. As split_pieces, returns the pieces' numbers, the distinct pieces and each text's number."""
-    texts = texts.cast(pa.large_string())
-    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2], np.uint8, count=off[-1])[off[0] :]
-    off = off - off[0]
-    space = data == 32
-    mark = space & ~np.append(False, space[:-1])
-    ends = np.flatnonzero(data == LOW_BAR[2]) + 1  # a text's own U+2581 is a space to the vocabulary: no cut after it
-    ends = ends[(ends > 2) & (ends < len(data))]
-    mark[ends[(data[ends - 3] == LOW_BAR[0]) & (data[ends - 2] == LOW_BAR[1])]] = False
-    mark[off[:-1]] = True
-    starts = np.flatnonzero(mark)
-    keep = ~mark
-    bounds = np.append(starts, len(data)) - np.arange(len(starts) + 1)
-    body = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[keep]))]).dictionary_encode()
-    return body.indices.to_numpy(zero_copy_only=False), body.dictionary.to_pylist(), np.diff(np.searchsorted(starts, off))
+    table = PieceTable(encode, np.uint32, MOST_PIECES)
+
+    def by_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        which, pieces, counts = split_pieces(_spaced(texts), fold=False)
+        ids, lens = table.gather(table.slots(pieces)[which] if pieces else np.zeros(0, np.int64))
+        return ids, np.diff(np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))])
+
+    return Vocabulary([spelled.get(i, b"") for i in range(max(spelled) + 1)], by_pieces if known else lambda texts: encode(_spaced(texts).to_pylist()))
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(" "), texts, "")
 
 
 @lru_cache(maxsize=2)
@@ -126,20 +111,7 @@ def sentence_pieces(path: str) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-    whole = lambda texts: _whole(pc.utf8_slice_codeunits(texts, 1))
-    # no token goes on with a space after something else: then no merge crosses the place before such a space
-    apart = not any(SPACE in p.lstrip(SPACE) for p in names) and model.encode("  a", out_type=str)[0].startswith(SPACE)
-    encode = lambda pieces: _flat([x if p else [] for p, x in zip(pieces, model.encode(pieces, num_threads=1), strict=True)])
-    return Vocabulary(tokens, lambda pieces: _spaced(encode, model, pieces), split_words if apart else whole)
-
-
-def _spaced(encode, model, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a space and each piece. The library has no ids for an empty text, so a lone space is looked up by its name."""
-    ids, lens = encode(pieces)
-    alone = np.flatnonzero(np.fromiter((not p for p in pieces), bool, len(pieces)))
-    ids = np.insert(ids, (np.cumsum(lens) - lens)[alone], model.piece_to_id(SPACE))
-    lens[alone] = 1
-    return ids, lens
+    return Vocabulary(tokens, lambda texts: _flat(model.encode(texts.to_pylist(), num_threads=1)))
 
 
 def ends_of(lists: pa.ListArray, lens: np.ndarray) -> tuple[pa.Array, pa.Array]:
@@ -190,9 +162,8 @@ def _encode(first: str, second: str):
         for texts in slices(batch.column("text").fill_null(""), RUN_BYTES):
             dids = batch.column("did").slice(done, len(texts))
             done += len(texts)
-            spaced = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
-            bodies = [x.encode() for x in spaced.to_pylist()]
-            a, b = va.lists(spaced), vb.lists(spaced)
+            a, b = va.lists(texts), vb.lists(texts)
+            bodies = [x.encode() for x in _spaced(texts).to_pylist()]
             good = va.spells(a, bodies) & vb.spells(b, bodies) & (pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0)
             if not good.all():
                 bad = pa.array(~good)
