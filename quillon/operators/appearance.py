@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import EPSILON, clamp, signed_angle, wrap_degrees
-from quillon.operators.stats import Z_FACTOR, circular_correlation, circular_mean, group_percentiles, weighted_step_quantile
+from quillon.operators.joins import on_equal
+from quillon.operators.stats import Z_FACTOR, circular_correlation, circular_mean, median_and_mad, weighted_step_quantile
 
 
 def hue_range(sources: DataFrame, by: str, trim: float = 0.1) -> DataFrame:
@@ -38,11 +39,10 @@ def source_exclusions(sources: DataFrame, by: str, floor: float = 1e-4, limit: f
     early = F.when(F.col("pixels") < SOURCE_PIXELS, "few_pixels").when(F.col("clipped") > CLIPPED_SHARE, "clipped")
     own = sources.withColumn("_early", early)
     usable = own.where("_early IS NULL AND med IS NOT NULL").select(by, "med")
-    centre = group_percentiles(usable, [by], "med", {"_m": 0.5})
-    away = usable.join(centre, by).select(by, F.abs(F.col("med") - F.col("_m")).alias("_away"))
-    spread = group_percentiles(away, [by], "_away", {"_s": 0.5}).join(usable.groupBy(by).agg(F.count("*").alias("_n")), by)
+    named = {"med": "_m", "mad": "_s"}
+    centre = on_equal(median_and_mad(usable, [by], "med").withColumnsRenamed(named), usable.groupBy(by).agg(F.count("*").alias("_n")), [by])
     z = F.when(F.col("_early").isNull() & (F.col("_n") >= least), Z_FACTOR * F.abs(F.col("med") - F.col("_m")) / F.greatest(F.col("_s"), F.lit(floor)))
-    told = own.join(centre.join(spread, by), by, "left").withColumn("z", z)
+    told = own.join(centre, by, "left").withColumn("z", z)
     return told.withColumn("reason", F.coalesce("_early", F.when(F.col("z") > limit, "outlier"))).drop("_early", "_m", "_s", "_n")
 
 

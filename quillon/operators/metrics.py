@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import EPSILON, clamp
-from quillon.operators.stats import group_percentiles, median
+from quillon.operators.joins import on_equal
+from quillon.operators.stats import median, median_and_mad
 
 
 def paired(px: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -38,12 +39,10 @@ def hue_error(rows: DataFrame, by: list[str], hue_a: str, hue_b: str, chroma_a:
 def region_stats(px: DataFrame, clip_low: float, clip_high: float, specular_floor: float = 0.10) -> DataFrame:
     """For each source (grp): n, clipped share, median, MAD, and the share of pixels above median + max(4 x 1.4826 MAD, floor)."""
     sums = px.groupBy("grp").agg(F.count("*").alias("n"), F.avg(F.when((F.col("v") <= clip_low) | (F.col("v") >= clip_high), 1.0).otherwise(0.0)).alias("clipped"))
-    med = group_percentiles(px, ["grp"], "v", {"med": 0.5})
-    away = px.join(med, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("away"))
-    per = sums.join(med, "grp").join(group_percentiles(away, ["grp"], "away", {"mad": 0.5}), "grp")
+    per = on_equal(sums, median_and_mad(px, ["grp"], "v"), ["grp"])
     cut = per.select("grp", (F.col("med") + F.greatest(4 * 1.4826 * F.col("mad"), F.lit(float(specular_floor)))).alias("cut"))
-    spec = px.join(cut, "grp").groupBy("grp").agg(F.avg(F.when(F.col("v") > F.col("cut"), 1.0).otherwise(0.0)).alias("specular"))
-    return per.join(spec, "grp")
+    spec = on_equal(px.select("grp", "v"), cut, ["grp"]).groupBy("grp").agg(F.avg(F.when(F.col("v") > F.col("cut"), 1.0).otherwise(0.0)).alias("specular"))
+    return on_equal(per, spec, ["grp"])
 
 
 def optimal_exposure(rows: DataFrame, by: str, frame: str, observed: Column, unit: Column) -> DataFrame:

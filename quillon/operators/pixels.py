@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalar import EPSILON, clamp
-from quillon.operators.stats import Z_FACTOR, group_percentiles, median, numbered
+from quillon.operators.joins import on_equal
+from quillon.operators.stats import Z_FACTOR, median, median_and_mad, numbered
 
 
 def explode_rasters(df: DataFrame, frame: str, group: str, values: str, width: int, offset: float = 0.5) -> DataFrame:
@@ -126,14 +127,14 @@ def nearest_two(points: DataFrame, queries: DataFrame, key: str, values: str, ra
     """For each query its nearest point (of equal ones the least), its distance, that of the second nearest, and whether
     their ratio is low enough.
 
-    queries is a stated query set held against all points; both minima are pre-aggregated in every task. How the queries
+    queries is a stated query set held against all points, once; each task sends on the two nearest of a query. How the queries
     and the nearest reach the points is left to the planner, which broadcasts them only under its size limit."""
     q = queries.select(F.col(key).alias("query"), F.col(values).alias("qv"))
     sq = F.aggregate(F.zip_with("pv", "qv", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     pairs = points.select(F.col(key).alias("point"), F.col(values).alias("pv")).join(q, F.col("point") != F.col("query")).select("query", F.struct(F.sqrt(sq).alias("d"), "point").alias("s"))
-    top = pairs.groupBy("query").agg(F.min("s").alias("a"))
-    second = pairs.join(top, "query").where("s <> a").groupBy("query").agg(F.min("s.d").alias("d2"))
-    joined = top.join(second, "query", "left")
+    place = F.row_number().over(Window.partitionBy("query").orderBy("s"))  # each task sends on its two nearest of a query
+    nearest = pairs.withColumn("place", place).where("place <= 2")
+    joined = nearest.groupBy("query").agg(F.min("s").alias("a"), F.max(F.when(F.col("place") == 2, F.col("s.d"))).alias("d2"))
     return joined.select("query", F.col("a.point").alias("point"), F.col("a.d").alias("distance"), "d2", (F.col("a.d") < ratio * F.col("d2")).alias("matched"))
 
 
@@ -141,9 +142,7 @@ def envelope(px: DataFrame, floor: float = 1e-4, limit: float = 3.5, least: int
     """Appearance envelope over sources (grp): median, MAD and spread of each source, outliers by modified z of the medians
     (none with fewer than `least` sources), and the number of inliers."""
     sums = px.groupBy("grp").agg(F.count("*").alias("n"), F.var_pop("v").alias("variance"), F.min("v").alias("low"), F.max("v").alias("high"))
-    med = group_percentiles(px, ["grp"], "v", {"med": 0.5})
-    away = px.join(med, "grp").select("grp", F.abs(F.col("v") - F.col("med")).alias("away"))
-    per = sums.join(med, "grp").join(group_percentiles(away, ["grp"], "away", {"mad": 0.5}), "grp")
+    per = on_equal(sums, median_and_mad(px, ["grp"], "v"), ["grp"])
     # one row a source from here on
     centre = per.agg(median(F.col("med")).alias("m"), F.count("*").alias("sources"))
     with_m = per.crossJoin(F.broadcast(centre))

@@ -110,7 +110,6 @@ def _shape(columns: list[str]) -> list[tuple[str, Column]]:
     }
     out = [rule for column, rule in rules.items() if column in columns]
     out.append(("unknown-actor-type", ~F.col("actor_type").isin(*ACTORS)))
-    out.append(("unknown-state", rank(lane_of(F.col("lane")), F.col("to_state")).isNull()))
     if "schema_version" in columns:
         out.append(("schema-without-lane", (lane_of(F.col("lane")) == "reference") & (F.col("schema_version") == VERSIONS[0])))
     return out
@@ -132,6 +131,7 @@ def judged(events: DataFrame) -> DataFrame:
         ("fingerprint-changed", ~opens & known & F.col("changed")),
         ("not-one-step", (action == "promote") & ~at.eqNullSafe(F.coalesce(was, F.when(~known, -1)) + 1)),
         ("not-earlier", (action == "demote") & ~F.coalesce(at < was, F.lit(False))),
+        ("unknown-state", at.isNull()),
         *[(name, (action != "demote") & lacks) for name, lacks in _requirements()],
     ]
     return events.withColumn("reasons", gates.reasons([(broken, name) for name, broken in rules]))

@@ -476,7 +476,9 @@ def hue_bins(spark, sf):
 SELECT 'UNION' AS kind, grp, pos FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'SUBTRACT', grp, pos FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
 UNION ALL SELECT 'INTERSECT', grp, pos FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'REPLACE', grp, pos FROM b""")
 def mask_algebra(spark, sf):
-    act = px.activation(raster_pixels(spark, sf), share=0.75)
+    at = shared_folder(spark, "activation")
+    px.activation(raster_pixels(spark, sf), share=0.75).select("frame_id", "grp", "pos").write.parquet(at)  # read eight times below
+    act = spark.read.parquet(at)
     a, b = (act.where(F.col("frame_id") % 2 == k).select("grp", "pos") for k in (0, 1))
     out = [px.mask_set(k, a, b).select(F.lit(k).alias("kind"), "grp", "pos") for k in ("UNION", "SUBTRACT", "INTERSECT", "REPLACE")]
     return out[0].unionAll(out[1]).unionAll(out[2]).unionAll(out[3])
