@@ -6,7 +6,7 @@ values of the n-grams under random permutations of 32 bits. bands() chooses how
 are needed, so that a pair at the threshold meets in some band with the target recall.
 
 Rows are shuffled on band hashes. Pairs that share a bucket are the candidates, and each is verified once, on the full n-gram
-sets. Buckets with the same members are one. A bucket is cut into blocks of bounded size, and each pair of blocks is a group
+sets. Buckets with the same members are one. A bucket is cut into blocks of about BLOCK_ROWS, and each pair of blocks is a group
 of rows; a pair that several buckets share is counted in the first of them. Where the buckets of one component of the graph
 "shares a bucket" overlap so much that its rows would move more often than by taking all blocks of the component together, the
 component is cut into blocks instead; which way is taken changes no result. A group sends on a count of links for each row
@@ -33,8 +33,9 @@ from .components import components
 
 NO_ID = -(2**63)
 WORDS, THRESHOLD = 5, 0.8
-#: A block's rows and n-grams at most (a text with more is a block of its own).
-BLOCK_ROWS, BLOCK_GRAMS = 256, 1_000_000
+#: A block's rows and n-grams on average: rows are dealt to as many blocks by a hash, so that a block holds a few times as
+#: much at most (with 256 expected rows, 512 are beyond any chance), or one long text. N-grams compared at once, a firm bound.
+BLOCK_ROWS, BLOCK_GRAMS, COMPARED = 256, 1_000_000, 1_000_000
 
 
 def bands(threshold: float, recall: float = 0.99999, most: int = 256) -> tuple[int, int]:
@@ -136,7 +137,19 @@ def _sign(rows: int, count: int, words: int, cut: Callable[[str], np.ndarray]):
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of every set of left with every set of right, by products of blocks of columns."""
+    """Sizes of the intersections of every set of left with every set of right. Large sets, which have to be in order, are
+    compared by ranges of values, so that about COMPARED of them are looked at together."""
+    parts = -(-sum(map(len, [*left, *right])) // COMPARED)
+    if parts < 2:
+        return _overlaps(left, right)
+    edges = np.array([k * 2**64 // parts for k in range(1, parts)], np.uint64)
+    cuts = [[[0, *np.searchsorted(s, edges), len(s)] for s in side] for side in (left, right)]
+    piece = lambda side, at, k: [s[c[k] : c[k + 1]] for s, c in zip(side, at, strict=True)]
+    return sum((_overlaps(piece(left, cuts[0], k), piece(right, cuts[1], k)) for k in range(parts)), np.zeros((len(left), len(right)), np.int64))
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The same of few values, by products of blocks of columns."""
     out = np.zeros((len(left), len(right)), np.int64)
     sets = [*left, *right]
     values, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)

@@ -98,3 +98,13 @@ def test_one_hot_group_of_near_copies(spark):
         rows.append((i, " ".join(own)))
     got = nj.jaccard_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r.class_id for r in got} == {0} and {(r.doc_id, r.n_links) for r in got} == {(d, n) for d, _, n in brute(rows)}
+
+
+def test_large_sets_are_compared_by_ranges(monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**64, 500, dtype=np.uint64, endpoint=False)
+    sets = [np.unique(rng.choice(pool, n)) for n in (0, 1, 300, 450, 20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[2:]] for a in sets]
+    for most in (1, 7, 100, 10**6):
+        monkeypatch.setattr(nj, "COMPARED", most)
+        assert nj.overlaps(sets, sets[2:]).tolist() == want
