@@ -107,6 +107,12 @@ def _spaced(data: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """split_coded, with the distinct pieces as a list."""
+    which, pieces, counts = split_coded(texts, fold, whole)
+    return which, pieces.to_pylist(), counts
+
+
+def split_coded(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Cuts texts before ASCII white space that follows something else (beyond ASCII: only where _spaced tells so), and
     between ASCII letters, digits and punctuation (but not after an apostrophe that a letter follows): no match of the
     tokenizers' word patterns crosses such a place.
@@ -119,7 +125,7 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
     data = np.frombuffer(texts.buffers()[2], np.uint8, count=off[-1])[off[0] :] if off[-1] > off[0] else np.zeros(0, np.uint8)
     off = off - off[0]
     if not len(data):
-        return np.zeros(0, np.int64), [], np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
     kind = CLASS[data]
     if whole is not None:
         for i in np.flatnonzero(pc.match_substring(texts, whole).to_numpy(zero_copy_only=False)):
@@ -140,4 +146,4 @@ def split_pieces(texts: pa.Array, fold: bool, whole: str | None = None) -> tuple
         data = np.where(kind == 0, np.uint8(32), data)
         data[upper] += 32
     coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), counts
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, counts

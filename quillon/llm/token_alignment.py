@@ -22,6 +22,7 @@ import json
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .parts import Returned, by_part, give_back, numbered
-from .pieces import PieceTable, gather, slices, split_pieces
+from .pieces import LONGEST, gather, slices, split_coded
 
 #: Bytes of text and tokens handled at once; links expanded at once; groups with more links are expanded by distinct ids.
 RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 2_000_000, 500_000, 4_000_000, 4096
-#: Pieces of texts whose ids a worker keeps.
-MOST_PIECES = 250_000
+#: Pieces of texts whose ids a worker keeps for each vocabulary, and bytes of them.
+MOST_PIECES, MOST_BYTES = 1_000_000, 32_000_000
 SPACE = "\u2581"
+LOW_BAR = SPACE.encode()
 
 
 def byte_characters() -> dict[str, int]:
@@ -49,18 +51,51 @@ def byte_characters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Ids of texts and bytes of ids. encode: the ids of texts one after the other, and their number for each."""
+    """Ids of texts and bytes of ids. encode: the ids of pieces one after the other, and their number for each; cut: the pieces
+    of texts, as split_coded gives them, that may be encoded apart."""
 
-    def __init__(self, tokens: list[bytes], encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
-        self.size, self.encode = len(tokens), encode
+    def __init__(self, tokens: list[bytes], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], cut: Callable[[pa.Array], tuple[np.ndarray, pa.Array, np.ndarray]]):
+        self.size, self.encode, self.cut = len(tokens), encode, cut
         self.body = np.frombuffer(b"".join(tokens), np.uint8)
         self.ends = np.cumsum([0, *map(len, tokens)])
         self.lens = np.diff(self.ends)
         self.dtype = np.uint16 if self.size <= 2**16 else np.uint32
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = pa.array([], pa.large_string())
+        self.ids, self.stops = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+
+    def slots(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slot of each piece, and the ids and ends of the slots. Pieces are kept in Arrow's own form, MOST_PIECES and
+        MOST_BYTES at most, and found by its hash tables; those longer than LONGEST hardly come again and are not kept."""
+        found = pc.index_in(pieces, value_set=self.keys)
+        if len(self.keys) + found.null_count > MOST_PIECES or self.keys.nbytes + pieces.nbytes > MOST_BYTES:
+            self.clear()
+            found = pc.index_in(pieces, value_set=self.keys)
+        slots = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not found.null_count:
+            return slots, self.ids, self.stops
+        at = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        long = pc.binary_length(pieces.take(pa.array(at))).to_numpy() > LONGEST
+        at, brief = np.concatenate([at[~long], at[long]]), int((~long).sum())
+        new = pieces.take(pa.array(at))
+        ids, lens = self.encode(new.to_pylist())
+        slots[at] = len(self.keys) + np.arange(len(at))
+        ids, stops = np.concatenate([self.ids, ids.astype(self.dtype)]), np.concatenate([self.stops, self.stops[-1] + np.cumsum(lens)])
+        self.keys = pa.concat_arrays([self.keys, new.slice(0, brief)])
+        self.stops = stops[: len(self.keys) + 1]
+        self.ids = ids[: self.stops[-1]]
+        return slots, ids, stops
 
     def lists(self, texts: pa.Array) -> pa.ListArray:
-        ids, lens = self.encode(texts)
-        return pa.ListArray.from_arrays(np.append(0, np.cumsum(lens)).astype(np.int32), pa.array(ids.astype(self.dtype)))
+        which, pieces, counts = self.cut(texts)
+        if not len(pieces):
+            return pa.array([[]] * len(texts), pa.list_(pa.from_numpy_dtype(self.dtype)))
+        slots, ids, stops = self.slots(pieces)
+        ids, lens = gather(ids, stops, slots[which])
+        done = np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))]
+        return pa.ListArray.from_arrays(done.astype(np.int32), pa.array(ids))
 
     def spells(self, lists: pa.ListArray, bodies: list[bytes]) -> np.ndarray:
         """Whether the tokens' bytes of each list are the body."""
@@ -72,13 +107,20 @@ class Vocabulary:
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter((x for ids in lists for x in ids), np.int64, int(lens.sum())), lens
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(lens.sum())), lens
+
+
+def _spaced(texts: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type))
+
+
+def _whole(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    return np.arange(len(texts)), texts.cast(pa.large_string()), np.ones(len(texts), np.int64)
 
 
 @lru_cache(maxsize=2)
 def byte_level(path: str) -> Vocabulary:
-    """A byte-level BPE of the tokenizers library, for texts with a space before them. Where its rules are those for which
-    texts may be cut into pieces, a piece that comes again is not encoded again."""
+    """A byte-level BPE of the tokenizers library, for texts with a space before them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -89,18 +131,26 @@ def byte_level(path: str) -> Vocabulary:
     rules = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
     known = tokenizer.normalizer is None and rules.get("type") == "ByteLevel" and rules.get("use_regex") and not rules.get("add_prefix_space")
     encode = lambda pieces: _flat([e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)])
-    table = PieceTable(encode, np.uint32, MOST_PIECES)
-
-    def by_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        which, pieces, counts = split_pieces(_spaced(texts), fold=False)
-        ids, lens = table.gather(table.slots(pieces)[which] if pieces else np.zeros(0, np.int64))
-        return ids, np.diff(np.append(0, np.cumsum(lens))[np.append(0, np.cumsum(counts))])
-
-    return Vocabulary([spelled.get(i, b"") for i in range(max(spelled) + 1)], by_pieces if known else lambda texts: encode(_spaced(texts).to_pylist()))
-
-
-def _spaced(texts: pa.Array) -> pa.Array:
-    return pc.binary_join_element_wise(pa.scalar(" "), texts, "")
+    return Vocabulary([spelled.get(i, b"") for i in range(max(spelled) + 1)], encode, lambda texts: split_coded(_spaced(texts), fold=False) if known else _whole(_spaced(texts)))
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Cuts texts with a space before them before every space that follows something else, and leaves one space out of each
+    piece: the vocabulary puts it back. Returns what split_coded does."""
+    texts = _spaced(texts).cast(pa.large_string())
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2], np.uint8, count=off[-1])[off[0] :] if len(texts) else np.zeros(0, np.uint8)
+    off = off - off[:1]
+    space = data == 32
+    mark = space & ~np.append(False, space[:-1])[: len(data)]
+    ends = np.flatnonzero(data == LOW_BAR[2]) + 1  # a text's own U+2581 is a space to the vocabulary: no cut after it
+    ends = ends[(ends > 2) & (ends < len(data))]
+    mark[ends[(data[ends - 3] == LOW_BAR[0]) & (data[ends - 2] == LOW_BAR[1])]] = False
+    mark[off[:-1]] = True
+    starts = np.flatnonzero(mark)
+    bounds = np.append(starts, len(data)) - np.arange(len(starts) + 1)
+    coded = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[~mark]))]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, np.diff(np.searchsorted(starts, off))
 
 
 @lru_cache(maxsize=2)
@@ -111,7 +161,15 @@ def sentence_pieces(path: str) -> Vocabulary:
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
     tokens = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
-    return Vocabulary(tokens, lambda texts: _flat(model.encode(texts.to_pylist(), num_threads=1)))
+    # no token goes on with a space after something else: then no merge crosses the place before such a space
+    apart = not any(SPACE in p.lstrip(SPACE) for p in names)
+
+    def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library has no ids for an empty text: the space that stands for one is looked up by its name."""
+        alone = [model.piece_to_id(SPACE)]
+        return _flat([x if p else alone for p, x in zip(pieces, model.encode(pieces, num_threads=1), strict=True)])
+
+    return Vocabulary(tokens, encode, split_words if apart else _whole)
 
 
 def ends_of(lists: pa.ListArray, lens: np.ndarray) -> tuple[pa.Array, pa.Array]:

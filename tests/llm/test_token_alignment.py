@@ -10,6 +10,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from quillon.llm import token_alignment as ta
+from quillon.llm.pieces import LONGEST
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -87,12 +88,15 @@ def test_small_blocks_give_the_same(monkeypatch):
     assert got == want and again.to_pydict() == rows.to_pydict()
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ids_as_the_libraries_give_them(seed):
-    texts = [t for t in random_texts(800, seed) if t]
+@pytest.mark.parametrize(("seed", "most"), [(1, 10**6), (2, 150)])
+def test_ids_as_the_libraries_give_them(seed, most, monkeypatch):
+    monkeypatch.setattr(ta, "MOST_PIECES", most)
+    texts = [t for t in random_texts(800, seed) if t] + ["q" * 300, "語" * 200, "q" * 300]
     a, b = libraries()
-    assert ta.byte_level(A).lists(pa.array(texts)).to_pylist() == [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-    assert ta.sentence_pieces(B).lists(pa.array(texts)).to_pylist() == b.encode(texts)
+    for part in (texts[:100], texts[100:150], texts[150:], texts[:300]):
+        assert ta.byte_level(A).lists(pa.array(part)).to_pylist() == [e.ids for e in a.encode_batch([" " + t for t in part], add_special_tokens=False)]
+        assert ta.sentence_pieces(B).lists(pa.array(part)).to_pylist() == b.encode(part)
+        assert all(len(v.keys) < 5000 and max(map(len, v.keys.to_pylist())) <= LONGEST for v in (ta.byte_level(A), ta.sentence_pieces(B)))
 
 
 def test_no_rows(spark):
