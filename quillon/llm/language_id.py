@@ -223,8 +223,8 @@ def train(docs: DataFrame, bits: int = 15, max_rows: int = 3000, max_entries: in
     return model
 
 
-def _guessed(docs: DataFrame, model: Model, name: str) -> DataFrame:
-    """docs with a column of that name: lang, score and known."""
+def _guessed(docs: DataFrame, model: Model, name: str, known: bool) -> DataFrame:
+    """docs with a column of that name: lang, score and, where it is asked for, known."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^bits x languages: bounded by parameters
 
     @F.pandas_udf("struct<lang:string,score:double,known:double>")
@@ -232,7 +232,7 @@ def _guessed(docs: DataFrame, model: Model, name: str) -> DataFrame:
         import pandas as pd
 
         own = shared.value
-        return pd.DataFrame([(*own.predict(t), own.known(t)) for t in texts], columns=["lang", "score", "known"])
+        return pd.DataFrame([(*own.predict(t), own.known(t) if known else None) for t in texts], columns=["lang", "score", "known"])
 
     return docs.withColumn(name, guess("text"))
 
@@ -240,7 +240,7 @@ def _guessed(docs: DataFrame, model: Model, name: str) -> DataFrame:
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred and score; every other column stays as it is."""
     guess, lang, score = (common.fresh(docs, x) for x in ("guess_of_text", "lang_pred", "score"))
-    out = _guessed(docs, model, guess)
+    out = _guessed(docs, model, guess, known=False)
     return out.withColumn(lang, F.col(guess)["lang"]).withColumn(score, F.col(guess)["score"]).drop(guess)
 
 
@@ -249,7 +249,7 @@ def recognised(docs: DataFrame, model: Model, least_score: float = 0.0, least_kn
     that were learned. All columns stay."""
     guess = common.fresh(docs, "guess_of_text")
     own = F.col(guess)
-    return _guessed(docs, model, guess).where((own["lang"] != UNKNOWN) & (own["score"] >= least_score) & (own["known"] >= least_known)).drop(guess)
+    return _guessed(docs, model, guess, known=True).where((own["lang"] != UNKNOWN) & (own["score"] >= least_score) & (own["known"] >= least_known)).drop(guess)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
