@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -45,6 +45,8 @@ from .unicode_words import word_hashes
 STRIDE, SHORT, SAMPLES, CLASSES, MOST_TABLES = 4, 10, 4, 4096, 64
 #: A block of items; indexes that a task keeps in memory.
 BLOCK_ITEMS, BLOCK_BYTES, MOST_HELD = 5000, 16 << 20, 2
+#: Text that is held against one index after the other, where there are more than MOST_HELD.
+RUN_BYTES = 64 << 20
 #: The walks of one class have at most so many bytes; a seed has at most so many words; a class is judged after FEWEST tables.
 TABLE_BYTES, SEED_WORDS, FEWEST = 64 << 20, 8, 8
 #: Words of documents handled at once.
@@ -339,6 +341,19 @@ def _indexed(items: DataFrame, max_error: float, recall: float) -> list[str]:
     return [r.file for r in build_indexes(items, root, max_error, recall).select("file").orderBy("file").collect()]
 
 
+def _together(batches: Iterator, size: Callable[..., int], files: list[str]) -> Iterator[list]:
+    """The batches in runs: one by one where all indexes are held, else RUN_BYTES of text, so that each index is read once a run."""
+    run, total = [], 0
+    for b in batches:
+        run.append(b)
+        total += size(b)
+        if total >= RUN_BYTES or len(files) <= MOST_HELD:
+            yield run
+            run, total = [], 0
+    if run:
+        yield run
+
+
 def find_items(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall: float = 0.95) -> DataFrame:
     """Returns doc_id, item_id, distance (word edits), first_word, n_words (of the item) and recall (measured, at the greatest
     number of edits, for the item's size class in its block): the best place of each item in each row of docs that holds it
@@ -347,8 +362,8 @@ def find_items(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall
     names = ["doc_id", "item_id", "distance", "first_word", "n_words", "recall"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+        for held in _together(batches, lambda b: b.nbytes, files):
+            ids, texts = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc_id", "text"))
             for file in files:
                 own = _index(file)
                 rows = [(ids[row], own.ids[k], distance, at, len(own.words[k]), own.recall_of(k)) for row, k, distance, at in own.find(texts)]
@@ -363,12 +378,15 @@ def clean_of(docs: DataFrame, items: DataFrame, max_error: float = 0.1, recall:
     files = _indexed(items, max_error, recall)
 
     @F.pandas_udf("boolean")
-    def holds(texts):
-        out = np.zeros(len(texts), bool)
-        for file in files:
-            left = np.flatnonzero(~out)
-            out[left[sorted({row for row, *_ in _index(file).find([texts.iloc[i] for i in left])})]] = True
-        return pd.Series(out)
+    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for held in _together(batches, lambda x: sum(len(t) for t in x if t), files):
+            texts = [t for x in held for t in x]
+            out = np.zeros(len(texts), bool)
+            for file in files:
+                left = np.flatnonzero(~out)
+                out[left[sorted({row for row, *_ in _index(file).find([texts[i] for i in left])})]] = True
+            for part in np.split(out, np.cumsum([len(x) for x in held])[:-1]):
+                yield pd.Series(part)
 
     return docs.where(~holds("text"))
 

@@ -73,3 +73,19 @@ def test_index_reaches_its_recall():
     items, _ = corpus()
     index = dc.Index([(k, " ".join(i)) for k, i in enumerate(items)], 0.1, 0.95)
     assert min(index.recalls.values()) >= 0.95
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    items, docs = corpus()
+    a = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(900, None)], "doc_id bigint, text string").repartition(5)
+    b = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id bigint, text string")
+    whole = {(r.doc_id, r.item_id) for r in dc.find_items(a, b).collect() if r.distance == 0}
+    monkeypatch.setattr(dc, "BLOCK_ITEMS", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many batches to each run
+    try:
+        found = dc.find_items(a, b).collect()
+        stay = {r.doc_id for r in dc.clean_of(a, b).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.doc_id, r.item_id) for r in found if r.distance == 0} == whole
+    assert stay == {*range(len(docs)), 900} - {r.doc_id for r in found}
