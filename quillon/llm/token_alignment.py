@@ -4,7 +4,7 @@ Three looks at the corpus, in parts (parts.py), each a pipeline of Arrow arrays
 
 1. A text's tokens of both vocabularies are lists. Flattened, with parent indices, and with sums of the tokens' bytes that start
    anew with each text, they give a row for each token's end; a hash join of the two tables of ends (text, end) finds the
-   places where tokens of both end. They cut a text into groups. Ids and the groups' sizes are written; texts are not needed again.
+   places where tokens of both end. They cut a text into groups. Ids and the groups' ends are written; texts are not needed again.
 2. The pairs of a group are its links. Table.group_by counts, for each part, the documents that link a pair; Spark adds the parts'
    counts up, finds the highest count of each id of the first vocabulary (at most one row an id), and gives each part its pairs back.
 3. The links of a part are joined with what came back and summed for each document.
@@ -36,7 +36,7 @@ from .parts import Returned, by_part, give_back, numbered
 from .pieces import LONGEST, gather, slices, split_coded
 
 #: Bytes of text and tokens handled at once; links expanded at once; groups with more links are expanded by distinct ids.
-RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 2_000_000, 500_000, 4_000_000, 4096
+RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 4_000_000, 500_000, 4_000_000, 4096
 #: Pieces of texts whose ids a worker keeps for each vocabulary, and bytes of them.
 MOST_PIECES, MOST_BYTES = 1_000_000, 32_000_000
 SPACE = "\u2581"
@@ -180,17 +180,20 @@ def ends_of(lists: pa.ListArray, lens: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return parent, pc.subtract(total, pc.take(pa.array(before), parent))
 
 
-def groups_of(a: pa.ListArray, b: pa.ListArray, va: Vocabulary, vb: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sizes in tokens of a and of b of the groups of the texts, one after the other, and each text's number of groups."""
+def group_ends(a: pa.ListArray, b: pa.ListArray, va: Vocabulary, vb: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of a and of b, 1 where it ends a group, else 0."""
     sides = []
     for lists, v, name in ((a, va, "a"), (b, vb, "b")):
         parent, end = ends_of(lists, v.lens)
         key = pc.add(pc.shift_left(pc.cast(parent, pa.int64()), pa.scalar(40, pa.int64())), end)
         sides.append(pa.table({"key": key, name: pa.array(np.arange(len(key)))}))
     met = sides[0].join(sides[1], "key", join_type="inner", use_threads=False)
-    ia, ib = np.sort(met.column("a").to_numpy()), np.sort(met.column("b").to_numpy())
-    counts = np.diff(np.searchsorted(ia, a.offsets.to_numpy()))
-    return np.diff(ia, prepend=-1), np.diff(ib, prepend=-1), counts
+    ends = []
+    for lists, name in ((a, "a"), (b, "b")):
+        end = np.zeros(len(lists.values), np.uint8)
+        end[met.column(name).to_numpy()] = 1
+        ends.append(end)
+    return ends[0], ends[1]
 
 
 def _packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -208,11 +211,11 @@ def unpacked(body: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body.buffers()[2], np.uint8)[off[0] : off[-1]].view(dtype), (off - off[0]).astype(np.int64) // size
 
 
-ENCODED = "did bigint, a binary, b binary, ga binary, gb binary"
+ENCODED = "did bigint, a binary, b binary, ends_a binary, ends_b binary"
 
 
 def _encode(first: str, second: str):
-    """(did, text) to ENCODED: ids, and sizes of the groups in tokens (unsigned 32-bit)."""
+    """(did, text) to ENCODED: ids, and for each whether it ends a group (a byte)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         va, vb = byte_level(first), sentence_pieces(second)
@@ -227,9 +230,9 @@ def _encode(first: str, second: str):
                 bad = pa.array(~good)
                 a, b = (pc.if_else(bad, pa.array([[]] * len(bad), x.type), x) for x in (a, b))
                 a, b = (pa.ListArray.from_arrays(np.append(0, np.cumsum(x.value_lengths().to_numpy())).astype(np.int32), x.flatten()) for x in (a, b))
-            ga, gb, groups = groups_of(a, b, va, vb)
-            ids = [_packed(x.values.to_numpy(), np.diff(x.offsets.to_numpy())) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([dids, *ids, _packed(ga.astype(np.uint32), groups), _packed(gb.astype(np.uint32), groups)], ["did", "a", "b", "ga", "gb"])
+            ends = group_ends(a, b, va, vb)
+            packed = [_packed(v, np.diff(x.offsets.to_numpy())) for v, x in ((a.values.to_numpy(), a), (b.values.to_numpy(), b), (ends[0], a), (ends[1], b))]
+            yield pa.RecordBatch.from_arrays([dids, *packed], ["did", "a", "b", "ends_a", "ends_b"])
 
     return run
 
@@ -241,8 +244,9 @@ class Aligned:
     def __init__(self, rows: pa.RecordBatch, va: Vocabulary, vb: Vocabulary):
         self.a, self.off_a = unpacked(rows.column("a"), va.dtype)
         self.b, self.off_b = unpacked(rows.column("b"), vb.dtype)
-        (self.na, self.off_g), (self.nb, _) = unpacked(rows.column("ga"), np.uint32), unpacked(rows.column("gb"), np.uint32)
-        self.na, self.nb = self.na.astype(np.int64), self.nb.astype(np.int64)
+        last_a, last_b = (np.flatnonzero(unpacked(rows.column(c), np.uint8)[0]) for c in ("ends_a", "ends_b"))
+        self.na, self.nb = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)  # a text's last token ends a group
+        self.off_g = np.searchsorted(last_a, self.off_a)
         self.text = np.repeat(np.arange(rows.num_rows), np.diff(self.off_g))
 
     def links(self, wide: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
