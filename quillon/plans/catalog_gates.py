@@ -17,7 +17,7 @@ HUMAN = {lane: ", ".join(f"'{s}'" for s in states) for lane, states in promotion
 
 def _from(physical: int | None, reference: int | None) -> str:
     """Whether the state is that high in its lane, in SQL; unknown states are."""
-    parts = [f"(lane2 = '{lane}' AND at >= {k})" for lane, k in (("physical", physical), ("reference", reference)) if k is not None]
+    parts = [f"(lane2 = '{lane}' AND rk >= {k})" for lane, k in (("physical", physical), ("reference", reference)) if k is not None]
     return "(" + " OR ".join(parts) + ")"
 
 
@@ -34,9 +34,9 @@ RULES = {
     "other-lane": "NOT opens AND known AND lane2 <> was_lane",
     "other-from-state": "NOT opens AND known AND from_state IS DISTINCT FROM was2",
     "fingerprint-changed": "NOT opens AND known AND coalesce(camera <> was_camera, false)",
-    "not-one-step": "action = 'promote' AND at IS DISTINCT FROM coalesce(was_at, CASE WHEN NOT known THEN -1 END) + 1",
-    "not-earlier": "action = 'demote' AND NOT coalesce(at < was_at, false)",
-    "unknown-state": "at IS NULL",
+    "not-one-step": "action = 'promote' AND rk IS DISTINCT FROM coalesce(was_rk, CASE WHEN NOT known THEN -1 END) + 1",
+    "not-earlier": "action = 'demote' AND NOT coalesce(rk < was_rk, false)",
+    "unknown-state": "rk IS NULL",
 }
 REQUIRED = {
     "human-only": "person AND CASE WHEN event_id % 26 = 0 THEN NULL ELSE event_id % 5 = 0 END",
@@ -59,7 +59,7 @@ GATE_SQL = PROMOTION_SQL + f""", g AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN
 h AS (SELECT *, lag(to_state) OVER v AS was2, lag(rev) OVER v AS was_rev, row_number() OVER v > 1 AS known FROM g WINDOW v AS (PARTITION BY user_id, profile ORDER BY sequence)),
 i AS (SELECT *, sum(CASE WHEN NOT known OR rev IS DISTINCT FROM was_rev THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, profile ORDER BY sequence) AS run2 FROM h),
 j AS (SELECT *, first_value(lane2) OVER w AS lane_of_run, lag(camera) OVER w AS was_camera FROM i WINDOW w AS (PARTITION BY user_id, profile, run2 ORDER BY sequence)),
-q AS (SELECT *, lag(lane_of_run) OVER (PARTITION BY user_id, profile ORDER BY sequence) AS was_lane, {PLACE.replace('STATE', 'to_state')} AS at, {PLACE.replace('STATE', 'was2')} AS was_at,
+q AS (SELECT *, lag(lane_of_run) OVER (PARTITION BY user_id, profile ORDER BY sequence) AS was_lane, {PLACE.replace('STATE', 'to_state')} AS rk, {PLACE.replace('STATE', 'was2')} AS was_rk,
   CASE lane2 WHEN 'physical' THEN to_state IN ({HUMAN['physical']}) ELSE to_state IN ({HUMAN['reference']}) END AS person FROM j),
 told AS (SELECT event_id, user_id, profile, sequence, rev, to_state, lane_of_run, camera, concat_ws(',', {SAID}) AS reasons FROM q)"""
 
@@ -165,7 +165,7 @@ ITEMS = commit_log.Items(technical=("item0",), rights="item1", production="item1
 
 @query(f"""WITH RECURSIVE {LEDGER_SQL}{REVIEW_SQL.removeprefix(LEDGER_SQL)}, {EASED_SQL},
 fold AS (
-  SELECT DISTINCT user_id, -1::BIGINT AS at, -1::BIGINT AS event_id, NULL::VARCHAR AS why, []::VARCHAR[] AS good, []::VARCHAR[] AS bad, []::BIGINT[] AS comments, []::BIGINT[] AS required, []::BIGINT[] AS open, []::BIGINT[] AS given, []::BIGINT[] AS t, []::BIGINT[] AS r, []::BIGINT[] AS p, -1::BIGINT AS place FROM z
+  SELECT DISTINCT user_id, -1::BIGINT AS upto, -1::BIGINT AS event_id, NULL::VARCHAR AS why, []::VARCHAR[] AS good, []::VARCHAR[] AS bad, []::BIGINT[] AS comments, []::BIGINT[] AS required, []::BIGINT[] AS open, []::BIGINT[] AS given, []::BIGINT[] AS t, []::BIGINT[] AS r, []::BIGINT[] AS p, -1::BIGINT AS place FROM z
   UNION ALL
   SELECT user_id, sequence, event_id, why,
     CASE WHEN why <> '' THEN good WHEN action = 'approve-item' THEN list_append(list_filter(good, lambda x: x <> item), item) WHEN action = 'reject-item' THEN list_filter(good, lambda x: x <> item) ELSE good END,
@@ -175,14 +175,14 @@ fold AS (
     CASE WHEN why = '' AND starts_with(action, 'approve-') AND action <> 'approve-item' THEN list_append(given, event_id) ELSE given END,
     {", ".join(f"CASE WHEN why <> '' THEN {c} WHEN action = 'reject-item' OR (action = 'comment' AND need) THEN []::BIGINT[] WHEN action = '{a}' THEN list_append({c}, event_id) WHEN action = 'revoke-approval' THEN list_filter({c}, lambda x: x <> target) ELSE {c} END" for c, a in zip("trp", review.APPROVALS, strict=True))},
     CASE WHEN why = '' THEN place + 1 ELSE place END
-  FROM (SELECT z.user_id, z.sequence, z.event_id, z.action, z.item, z.required AS need, z.target, f.* EXCLUDE (user_id, event_id, why, at), CASE z.action
+  FROM (SELECT z.user_id, z.sequence, z.event_id, z.action, z.item, z.required AS need, z.target, f.* EXCLUDE (user_id, event_id, why, upto), CASE z.action
       WHEN 'resolve-comment' THEN CASE WHEN NOT coalesce(list_contains(comments, z.target), false) THEN 'no-such-comment' WHEN list_contains(open, z.target) THEN '' WHEN list_contains(f.required, z.target) THEN 'already-resolved' ELSE 'needs-no-resolution' END
       WHEN 'revoke-approval' THEN CASE WHEN NOT coalesce(list_contains(given, z.target), false) THEN 'no-such-approval' WHEN list_contains(t, z.target) OR list_contains(r, z.target) OR list_contains(p, z.target) THEN '' ELSE 'inactive-approval' END
       WHEN 'approve-technical' THEN concat_ws(',', CASE WHEN len(bad) > 0 THEN 'rejected-items:' || array_to_string(list_sort(bad), '|') END, CASE WHEN len(open) > 0 THEN 'unresolved-comments' END, CASE WHEN NOT list_contains(good, 'item0') THEN 'missing-items:item0' END)
       WHEN 'approve-rights' THEN concat_ws(',', CASE WHEN len(bad) > 0 THEN 'rejected-items:' || array_to_string(list_sort(bad), '|') END, CASE WHEN len(open) > 0 THEN 'unresolved-comments' END, CASE WHEN NOT list_contains(good, 'item1') THEN 'missing-items:item1' END)
       WHEN 'approve-production' THEN concat_ws(',', CASE WHEN len(bad) > 0 THEN 'rejected-items:' || array_to_string(list_sort(bad), '|') END, CASE WHEN len(open) > 0 THEN 'unresolved-comments' END, CASE WHEN NOT list_contains(good, 'item1') THEN 'missing-items:item1' END, CASE WHEN len(t) = 0 THEN 'no-active-approve-technical' END, CASE WHEN len(r) = 0 THEN 'no-active-approve-rights' END)
-      ELSE '' END AS why FROM fold f JOIN z ON z.user_id = f.user_id AND z.sequence = f.at + 1))
-SELECT 'e' || event_id AS event_id, why AS reasons, CASE WHEN why = '' THEN place END AS sequence FROM fold WHERE at >= 0""")
+      ELSE '' END AS why FROM fold f JOIN z ON z.user_id = f.user_id AND z.sequence = f.upto + 1))
+SELECT 'e' || event_id AS event_id, why AS reasons, CASE WHEN why = '' THEN place END AS sequence FROM fold WHERE upto >= 0""")
 def guarded_append(spark, sf):
     name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("e"), F.col(c).cast("string")))
     new = eased_reviews(spark, sf).select(F.col("ledger").cast("string").alias("ledger"), name("event_id").alias("event_id"), F.col("sequence").alias("place"), F.lit("ann").alias("reviewer"), "action", "item", "requires_resolution", name("target").alias("target"))
