@@ -22,6 +22,15 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def parsed(text: Column) -> Column:
+    """The document as VARIANT; null where the text is not one JSON value and nothing else.
+
+    Spark's parser does not look at what follows a value. Inside brackets and inside an object it has to: what follows must
+    then close both, so it is nothing."""
+    listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(named.isNotNull() & (F.size(as_array(listed)) == 1), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 def quoted(text: Column) -> Column:
     """A JSON string."""
     escapes = SHORT | {chr(k): f"\\u{k:04x}" for k in range(32) if chr(k) not in SHORT}
@@ -116,13 +125,13 @@ def _written(value: Column, level: int, indent: int | None, depth: int) -> Colum
 def canonical_json(text: Column, indent: int | None = None, depth: int = DEPTH) -> Column:
     """The canonical text of a JSON document: compact, or with an indent and a newline at the end."""
     tail = "" if indent is None else "\n"
-    return let(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), F.concat(_written(v, 0, indent, depth), F.lit(tail))))
+    return let(parsed(text), lambda v: F.when(v.isNotNull(), F.concat(_written(v, 0, indent, depth), F.lit(tail))))
 
 
 def document_digest(text: Column, without: str | None = None, depth: int = DEPTH) -> Column:
     """SHA-256 of the canonical text, of an object without one of its fields (such as that which holds the digest)."""
-    parsed = F.try_parse_json(text)
+    value = parsed(text)
     if without is not None:
         left = lambda m: F.to_variant_object(F.map_filter(m, lambda k, _: k != without))
-        parsed = let(parsed, lambda v: let(as_map(v), lambda m: F.when(m.isNotNull(), left(m)).otherwise(v)))
-    return let(parsed, lambda v: F.when(v.isNotNull(), F.sha2(_written(v, 0, None, depth), 256)))
+        value = let(value, lambda v: let(as_map(v), lambda m: F.when(m.isNotNull(), left(m)).otherwise(v)))
+    return let(value, lambda v: F.when(v.isNotNull(), F.sha2(_written(v, 0, None, depth), 256)))

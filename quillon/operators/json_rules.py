@@ -123,7 +123,7 @@ def _faults(value: Column, schema: dict | bool, path: Column, root: dict, depth:
 
 def faults(text: Column, schema: dict, depth: int = 16) -> Column:
     """Every fault of a JSON document, "path: rule", none for a valid one; what is no JSON (or null) has the fault "/: no JSON"."""
-    return doc.let(F.try_parse_json(text), lambda v: F.when(v.isNotNull(), _faults(v, schema, F.lit(""), schema, depth)).otherwise(F.array(F.lit("/: no JSON"))))
+    return doc.let(doc.parsed(text), lambda v: F.when(v.isNotNull(), _faults(v, schema, F.lit(""), schema, depth)).otherwise(F.array(F.lit("/: no JSON"))))
 
 
 def hold(df: DataFrame, body: str, schema: dict) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import documents
 from quillon.operators import review
 
 #: Labels with which a profile may be published, by lane, the label of a preview, parts of a path and phrases that may not occur.
@@ -72,7 +73,7 @@ def check(profiles: DataFrame, sessions: DataFrame, events: DataFrame, files: Da
 
     profiles: profile_id, session_id, body (JSON). sessions: session_id, authentication, rights, public_derivatives. events: as in
     review, with after_digest (and digest). files: path, sha256. chain_faults: ledger. schema_faults: profile_id, message."""
-    own = profiles.select("profile_id", "session_id", "body", F.from_json("body", PROFILE).alias("doc"), F.sha2("body", 256).alias("profile_digest"), F.get_json_object("body", "$").startswith("{").alias("readable"))
+    own = profiles.select("profile_id", "session_id", "body", F.from_json("body", PROFILE).alias("doc"), F.sha2("body", 256).alias("profile_digest"), documents.as_map(documents.parsed(F.col("body"))).isNotNull().alias("readable"))
     told = own.join(approvals(events), "session_id", "left")
     told = told.join(sessions.select("session_id", "authentication", "rights", "public_derivatives", F.lit(True).alias("has_session")), "session_id", "left")
     told = told.join(asset_reasons(own, files, allow_remote), "profile_id", "left")

@@ -606,4 +606,4 @@ def windowed_counts_stream(spark, sf):
     return spark.read.parquet(f"{root}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-from quillon.plans import catalog_fit, catalog_gates, catalog_ledgers, catalog_more, catalog_records  # noqa: E402, F401  register their queries
+from quillon.plans import catalog_documents, catalog_fit, catalog_gates, catalog_ledgers, catalog_more, catalog_records  # noqa: E402, F401  register their queries

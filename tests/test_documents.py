@@ -68,6 +68,7 @@ def test_canonical_text(spark):
     rng = random.Random(12)
     docs = [random_value(rng, 4) for _ in range(300)]
     rows = [(i, json.dumps(d, ensure_ascii=bool(i % 2), indent=i % 3 or None)) for i, d in enumerate(docs)] + [(1000, "{"), (1001, None), (1002, '{"a":1,"a":2}'), (1003, "1e400")]
+    rows += [(2000 + k, t) for k, t in enumerate(['{"a":1}}', "1 2", "1] [2", "1,2", '1,"v":2', "", " ", "[1]]", '{"a":1} x'])]
     df = spark.createDataFrame(rows, "i int, t string")
     got = {r.i: (r.c, r.p) for r in df.select("i", doc.canonical_json(F.col("t")).alias("c"), doc.canonical_json(F.col("t"), indent=2).alias("p")).collect()}
     shown = lambda x: repr(x).count("e+308") or "5e-324" in repr(x)
@@ -75,6 +76,7 @@ def test_canonical_text(spark):
         if not shown(d):
             assert got[i] == (plain(d), plain(d, 2) + "\n"), rows[i][1]
     assert got[1000] == got[1001] == got[1002] == (None, None) and got[1003][0] == "null"
+    assert {got[i] for i in got if i >= 2000} == {(None, None)}
 
 
 def test_digests_and_depth(spark):
