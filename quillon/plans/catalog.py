@@ -303,15 +303,21 @@ def consistency_score(spark, sf):
 
 # ---- ledgers
 
-@query("""WITH c AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 3 = 0 AND turn = 2)),
-p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 + (SELECT min(turn) FROM conversations) AS e FROM c)
-SELECT conv_id, min(e) AS expected, min(turn) AS found FROM p WHERE turn <> e GROUP BY 1""")
-def ledger_sequence_check(spark, sf):
+@query("""WITH p AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations)
+SELECT conv_id, count(*) AS turns, max(turn) AS last, min(place) FILTER (turn <> place) AS expected, min(turn) FILTER (turn <> place) AS found FROM p GROUP BY 1""")
+def turn_sequences(spark, sf):
+    """Every conversation with its number of turns and the first that is not in its place (null: all are)."""
     turns = read_table(spark, sf, "conversations").select("conv_id", "turn")
-    base = turns.agg(F.min("turn").alias("base"))
-    gaps = turns.where("NOT (conv_id % 3 = 0 AND turn = 2)").crossJoin(F.broadcast(base)).withColumn("step", F.col("turn") - F.col("base"))
-    found = ledger.sequence_breaks(gaps, "conv_id", "step").crossJoin(F.broadcast(base))
-    return found.select("conv_id", (F.col("expected") + F.col("base")).alias("expected"), (F.col("found") + F.col("base")).alias("found"))
+    whole = turns.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last"))
+    return whole.join(ledger.sequence_breaks(turns, "conv_id", "turn"), "conv_id", "left").select("conv_id", "turns", "last", "expected", "found")
+
+
+@query(f"WITH {LEDGER_SQL}, k AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, sequence FROM ledger) SELECT user_id, count(*) AS events, min(place) FILTER (sequence <> place) AS expected, count(*) FILTER (sequence <> place) AS moved FROM k GROUP BY 1")
+def ledger_order_check(spark, sf):
+    """Whether each user's events come in the order of their ids: events, the first place with another one, how many are elsewhere."""
+    own = user_ledger(spark, sf).withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
+    off = F.col("sequence") != F.col("place")
+    return own.groupBy("user_id").agg(F.count("*").alias("events"), F.min(F.when(off, F.col("place"))).alias("expected"), F.count_if(off).alias("moved"))
 
 
 @query(f"""WITH {LEDGER_SQL}, d AS (SELECT user_id, event_id, sequence, sha256('{{"event_id":' || event_id || ',"event_type":"' || event_type || '","user_id":' || user_id || '}}') AS digest FROM ledger)

@@ -142,12 +142,13 @@ def normalize_profile(spark, sf):
 
 
 @query(f"""WITH {LEDGER_SQL}, k AS (SELECT *, MAP {{'signup': 0, 'view': 1, 'click': 2, 'purchase': 3, 'error': 4}}[event_type] AS rank FROM ledger)
-SELECT event_id, concat_ws(',', CASE WHEN rank >= 2 AND props IS NULL THEN 'evidence' END, CASE WHEN rank >= 3 AND coalesce(value, 0) < 50 THEN 'metrics' END, CASE WHEN rank = 4 THEN 'human only' END) AS reasons FROM k WHERE rank >= 2""")
+SELECT event_id, rank, concat_ws(',', CASE WHEN rank >= 2 AND props IS NULL THEN 'evidence' END, CASE WHEN rank >= 3 AND coalesce(value, 0) < 50 THEN 'metrics' END, CASE WHEN rank = 4 THEN 'human only' END) AS reasons FROM k""")
 def rank_requirements(spark, sf):
+    """What every event lacks that its rank asks for; low ranks ask for nothing."""
     rank = F.element_at(F.create_map(*[F.lit(x) for i, s in enumerate(("signup", "view", "click", "purchase", "error")) for x in (s, i)]), F.col("event_type"))
-    rows = user_ledger(spark, sf).withColumn("rank", rank).where("rank >= 2")
+    rows = user_ledger(spark, sf).withColumn("rank", rank)
     rules = [((F.col("rank") >= 2) & F.col("props").isNull(), "evidence"), ((F.col("rank") >= 3) & (F.coalesce("value", F.lit(0.0)) < 50), "metrics"), (F.col("rank") == 4, "human only")]
-    return rows.select("event_id", F.array_join(gates.reasons(rules), ",").alias("reasons"))
+    return rows.select("event_id", "rank", F.array_join(gates.reasons(rules), ",").alias("reasons"))
 
 
 # ---- order and sets

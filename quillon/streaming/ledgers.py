@@ -22,7 +22,8 @@ def running_state(events: DataFrame, key: str, at: str, event_id: str, state: st
 
 
 def windowed_counts(events: DataFrame, at: str, key: str, width: str, late: str) -> DataFrame:
-    """Events of each key in tumbling windows; later than `late` they are dropped."""
+    """Events of each key in tumbling windows. In append mode a window comes out once the watermark has passed it, its state
+    goes, and events later than `late` are dropped; in complete mode all windows stay and nothing is dropped."""
     w = F.window(at, width)
     events = events.withColumn(at, F.col(at).cast("timestamp"))
     return events.withWatermark(at, late).groupBy(w, key).count().select(F.col("window.start").alias("start"), key, F.col("count").alias("n"))
@@ -34,15 +35,15 @@ def guarded(events: DataFrame, key: str, sequence: str, state: str, ranks: dict[
     A ledger's events have to arrive in order of sequence; its last state is all that is kept."""
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(sequence)
         last = held.get[0] if held.exists else None
-        out = []
-        for r in pd.concat(list(batches)).sort_values(sequence).itertuples():
-            now = getattr(r, state)
-            if ranks[now] > (ranks[last] if last is not None else -1) + 1:
-                out.append((k[0], int(getattr(r, sequence)), last, now))
-            last = now
-        held.update((last,))
-        yield pd.DataFrame(out, columns=[key, sequence, "from_state", "to_state"])
+        before = rows[state].shift(1, fill_value=last)
+        low = before.map(ranks).fillna(-1)
+        wrong = rows[state].map(ranks) > low + 1
+        if len(rows):
+            held.update((rows[state].iloc[-1],))
+        out = pd.DataFrame({key: k[0], sequence: rows[sequence].astype("int64"), "from_state": before, "to_state": rows[state]})
+        yield out[wrong]
 
     schema = f"{key} bigint, {sequence} bigint, from_state string, to_state string"
     return events.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
