@@ -36,9 +36,9 @@ from .parts import Returned, by_part, give_back, numbered
 from .pieces import LONGEST, gather, slices, split_coded
 
 #: Bytes of text and tokens handled at once; links expanded at once; groups with more links are expanded by distinct ids.
-RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 4_000_000, 500_000, 4_000_000, 4096
+RUN_BYTES, RUN_TOKENS, MOST_LINKS, LARGE_GROUP = 2_000_000, 250_000, 1_000_000, 4096
 #: Pieces of texts whose ids a worker keeps for each vocabulary, and bytes of them.
-MOST_PIECES, MOST_BYTES = 1_000_000, 32_000_000
+MOST_PIECES, MOST_BYTES = 600_000, 24_000_000
 SPACE = "\u2581"
 LOW_BAR = SPACE.encode()
 
