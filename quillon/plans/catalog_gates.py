@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import promotion, publication, review
-from quillon.plans.catalog import LEDGER_SQL, query, read_table, shared_folder, user_ledger
+from quillon.plans.catalog import LEDGER_SQL, query, read_table, shared_folder
 from quillon.plans.catalog_ledgers import PHYSICAL, PROMOTION_SQL, REFERENCE, REVIEW_SQL, promotion_events, review_events
+from quillon.session import remove_folder
 from quillon.sources import commit_log
 
 # ---- promotion: nulls, two profiles a ledger, records by themselves
@@ -186,9 +187,12 @@ SELECT 'e' || event_id AS event_id, why AS reasons, CASE WHEN why = '' THEN plac
 def guarded_append(spark, sf):
     name = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("e"), F.col(c).cast("string")))
     new = eased_reviews(spark, sf).select(F.col("ledger").cast("string").alias("ledger"), name("event_id").alias("event_id"), F.col("sequence").alias("place"), F.lit("ann").alias("reviewer"), "action", "item", "requires_resolution", name("target").alias("target"))
-    log, answers = shared_folder(spark, "review-log"), []
-    longest = user_ledger(spark, sf).agg(F.max("sequence")).first()[0] or 0
+    log, answers, at = shared_folder(spark, "review-log"), [], shared_folder(spark, "reviews")
+    new.write.parquet(at)  # read by each batch
+    new = spark.read.schema(new.schema).parquet(at)
+    longest = new.agg(F.max("place")).first()[0] or 0
     for low, high in ((0, 3), (3, longest // 2), (max(3, longest // 2), longest + 1)):
         answers.append(commit_log.append(spark, log, new.where((F.col("place") >= low) & (F.col("place") < high)), ITEMS))
+    remove_folder(at)
     got = answers[0].unionByName(answers[1]).unionByName(answers[2])
     return got.select("event_id", F.array_join("reasons", ",").alias("reasons"), "sequence")

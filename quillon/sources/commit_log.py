@@ -15,10 +15,11 @@ from __future__ import annotations
 import json
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,52 +164,67 @@ class Ledger:
 JUDGED = "ledger string, event_id string, place bigint, reviewer string, action string, item string, requires_resolution boolean, target string, accepted boolean, sequence bigint, reasons array<string>, head string"
 
 
+GIVEN = [c.split()[0] for c in JUDGED.split(", ")[:8]]
+
+
 def _judge(items: Items):
-    def run(key: tuple, new: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        state = held.iloc[0].to_dict() if len(held) else {}
-        state = {k: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v for k, v in state.items()}
-        own = Ledger(state, items)
-        new = new.sort_values(["place", "event_id"], na_position="last").reset_index(drop=True)
-        text = lambda v: None if v is None or (pd.api.types.is_scalar(v) and pd.isna(v)) else v
-        accepted, sequence, reasons = [], [], []
-        for e in new.to_dict("records"):
-            known = (e["target_action"], bool(text(e["target_required"]))) if text(e["target_action"]) else None
-            why = ["no-ledger"] * (text(key[0]) is None) + ["no-event-id"] * (not text(e["event_id"])) + ["no-reviewer"] * (not (text(e["reviewer"]) or "").strip())
-            why += own.reasons(text(e["action"]), text(e["target"]), known) if not why else []
-            accepted.append(not why)
-            reasons.append(why)
-            sequence.append(own.take(e["event_id"], e["action"], text(e["item"]), bool(text(e["requires_resolution"])), text(e["target"])) if not why else None)
-        out = new.assign(accepted=accepted, sequence=pd.array(sequence, "Int64"), reasons=reasons, head=text(state.get("head")))
-        return out[[c.split()[0] for c in JUDGED.split(", ")]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of whole ledgers one after the other: first what the ledger holds, if there is any, then its new events in order."""
+        own, at, head = Ledger({}, items), (), None
+        for batch in batches:
+            accepted, sequence, reasons, heads = [], [], [], []
+            columns = [batch.column(c).to_pylist() for c in ("ledger", "event_id", "reviewer", "action", "item", "requires_resolution", "target", "target_action", "target_required", "held")]
+            for ledger, event_id, reviewer, action, item, required, target, target_action, target_required, held in zip(*columns, strict=True):
+                if at != (ledger,) or held is not None:
+                    at, head = (ledger,), (held or {}).get("head")
+                    own = Ledger(held or {}, items)
+                if held is not None:
+                    continue
+                known = (target_action, bool(target_required)) if target_action else None
+                why = ["no-ledger"] * (ledger is None) + ["no-event-id"] * (not event_id) + ["no-reviewer"] * (not (reviewer or "").strip())
+                why = why or own.reasons(action, target, known)
+                accepted.append(not why)
+                reasons.append(why)
+                sequence.append(own.take(event_id, action, item, bool(required), target) if not why else None)
+                heads.append(head)
+            new = batch.filter(pc.is_null(batch.column("held")))
+            told = [pa.array(accepted, pa.bool_()), pa.array(sequence, pa.int64()), pa.array(reasons, pa.list_(pa.string())), pa.array(heads, pa.string())]
+            yield pa.RecordBatch.from_arrays([new.column(c) for c in GIVEN] + told, [c.split()[0] for c in JUDGED.split(", ")])
 
     return run
 
 
 def judge(held: DataFrame, new: DataFrame, items: Items = Items()) -> DataFrame:  # noqa: B008 (frozen)
     """new (all columns of an event but sequence) with accepted, sequence and reasons: every event judged by what its ledger
-    holds and by those of new that were accepted before it. Of new events with one event_id the first counts."""
+    holds and by those of new that were accepted before it. Of new events with one event_id the first counts.
+
+    A task reads its ledgers as one sorted stream, so neither the number of ledgers nor the length of one is a matter of calls or of groups held."""
     first = F.row_number().over(Window.partitionBy("event_id").orderBy("place", "ledger"))
     once = new.withColumn("_n", F.when(F.col("event_id").isNull(), 1).otherwise(first)).where("_n = 1").drop("_n")
-    touched = held.join(once.select("ledger").distinct(), "ledger", "left_semi")
+    touched = held.join(new.select("ledger").distinct(), "ledger", "left_semi")
     about = touched.select("ledger", F.col("event_id").alias("target"), F.col("action").alias("target_action"), F.coalesce("requires_resolution", F.lit(False)).alias("target_required"))
-    asked = once.join(about, ["ledger", "target"], "left").select(*once.columns, "target_action", "target_required")
-    return asked.groupBy("ledger").cogroup(ledger_states(touched).groupBy("ledger")).applyInPandas(_judge(items), JUDGED)
+    asked = once.join(about, ["ledger", "target"], "left").select(*GIVEN, "target_action", "target_required")
+    states = ledger_states(touched)
+    states = states.select("ledger", F.struct(*[c for c in states.columns if c != "ledger"]).alias("held"))
+    rows = asked.unionByName(states, allowMissingColumns=True).repartition("ledger")
+    in_order = rows.sortWithinPartitions("ledger", F.col("held").isNull(), F.col("place").asc_nulls_last(), F.col("event_id").asc_nulls_last())
+    return in_order.mapInArrow(_judge(items), JUDGED)
 
 
 def append(spark: SparkSession, log: str, new: DataFrame, items: Items = Items(), attempts: int = 50, before_commit: Callable[[int], None] | None = None) -> DataFrame:  # noqa: B008
     """Appends the events that the guards let pass. Returns ledger, event_id, accepted, sequence, reasons and version (of the
     commit that has the event), one row for each event_id of new. before_commit: called with the number of the attempt, for tests."""
-    wanted = [c.split()[0] for c in JUDGED.split(", ")[:8]]
     for attempt in range(attempts):
         parts = commits(log)
         held = events(spark, log, parts)
-        there = held.select("event_id", F.col("sequence").alias("_sequence")).join(new.select("event_id").distinct(), "event_id", "left_semi")
-        fresh = new.select(*wanted).join(there, "event_id", "left_anti")
-        at = shared_folder(spark, "judged")
-        judge(held, fresh, items).write.parquet(at)
+        there = held.select("event_id", F.col("sequence").alias("_sequence"), F.lit(True).alias("_there"))
+        asked, at = shared_folder(spark, "asked"), shared_folder(spark, "judged")
+        new.select(*GIVEN).join(there, "event_id", "left").write.parquet(asked)  # new may be costly: it is computed once an attempt
+        given = spark.read.parquet(asked)
+        judge(held, given.where("_there IS NULL").select(*GIVEN), items).write.parquet(at)
         judged = spark.read.schema(JUDGED).parquet(at)
         good = judged.where("accepted")
-        again = there.join(new.select("event_id", "ledger").dropDuplicates(["event_id"]), "event_id").select("ledger", "event_id", F.lit(True).alias("accepted"), F.col("_sequence").alias("sequence"), F.array().cast("array<string>").alias("reasons"))
+        again = given.where("_there").groupBy("event_id", "_sequence").agg(F.min("ledger").alias("ledger")).select("ledger", "event_id", F.lit(True).alias("accepted"), F.col("_sequence").alias("sequence"), F.array().cast("array<string>").alias("reasons"))
         version = None
         if good.head(1):
             version, part = len(parts), uuid.uuid4().hex
@@ -218,12 +234,13 @@ def append(spark: SparkSession, log: str, new: DataFrame, items: Items = Items()
             if before_commit:
                 before_commit(attempt)
             if not create_once(spark, f"{log}/commits/{version:020d}.json", json.dumps({"part": part})):
-                remove_folder(f"{log}/parts/{part}")
-                remove_folder(at)
+                for folder in (f"{log}/parts/{part}", asked, at):
+                    remove_folder(folder)
                 continue
         out = shared_folder(spark, "appended")
         mine = judged.select("ledger", "event_id", "accepted", "sequence", "reasons", F.when(F.col("accepted"), version).cast("int").alias("version"))
         mine.unionByName(again.withColumn("version", F.lit(None).cast("int"))).write.parquet(out)
+        remove_folder(asked)
         remove_folder(at)
         return spark.read.schema(mine.schema).parquet(out)
     raise RuntimeError(f"other writers were first {attempts} times")
