@@ -16,6 +16,9 @@ DEPTH = 10
 #: Characters that are escaped by a letter.
 SHORT = {"\\": "\\\\", '"': '\\"', "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
+#: Fixed value: scalars that Spark writes as they are to be.
+AS_WRITTEN = r"^(?:true|false|null|0|-?(?:[1-9][0-9]{0,14}|(?:0|[1-9][0-9]{0,8})\.[0-9]{0,5}[1-9]))$"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
@@ -28,7 +31,7 @@ def parsed(text: Column) -> Column:
     Spark's parser does not look at what follows a value. Inside brackets and inside an object it has to: what follows must
     then close both, so it is nothing."""
     listed, named = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    return F.when(named.isNotNull() & (F.size(as_array(listed)) == 1), F.try_variant_get(listed, "$[0]", "variant"))
+    return let(listed, lambda one: F.when((F.size(as_array(one)) == 1) & named.isNotNull(), F.try_variant_get(one, "$[0]", "variant")))
 
 
 def quoted(text: Column) -> Column:
@@ -94,15 +97,24 @@ def type_of(value: Column) -> Column:
 
 
 def _scalar(value: Column) -> Column:
+    """The text of a value that is no array or object. Spark's own text is the canonical one for most: strings without escapes,
+    and numbers of up to 15 digits that have no zeros to drop and no exponent. Others are written anew."""
     kind = type_of(value)
-    return F.when(kind == "string", quoted(F.try_variant_get(value, "$", "string"))).when(kind == "number", number_text(value)).when(kind == "null", "null").otherwise(F.to_json(value))
+    anew = F.when(kind == "string", quoted(F.try_variant_get(value, "$", "string"))).when(kind == "number", number_text(value)).when(kind == "null", "null").otherwise(F.to_json(value))
+    same = lambda t: F.when(t.startswith('"'), ~t.contains("\\") & ~t.isin('"Infinity"', '"-Infinity"')).otherwise(t.rlike(AS_WRITTEN))
+    return let(F.to_json(value), lambda t: F.when(same(t), t).otherwise(anew))
+
+
+def _places(keys: Column) -> Column:
+    """Keys of an object in the order in which they are written, each with its place `at` among the given ones."""
+    index = lambda k: F.when(k.rlike("^(0|[1-9][0-9]{0,9})$"), k.try_cast("bigint"))
+    place = lambda k, at: F.struct(F.coalesce(F.least(index(k), F.lit(2**32 - 1)), F.lit(2**32 - 1)).alias("index"), F.encode(k, "UTF-16BE").alias("units"), k.alias("key"), at.alias("at"))
+    return F.sort_array(F.transform(keys, place))
 
 
 def in_order(keys: Column) -> Column:
     """Keys of an object in the order in which they are written."""
-    index = lambda k: F.when(k.rlike("^(0|[1-9][0-9]{0,9})$"), k.try_cast("bigint"))
-    place = lambda k: F.struct(F.when(index(k) < 2**32 - 1, index(k)).otherwise(2**32).alias("index"), F.encode(k, "UTF-16BE").alias("units"), k.alias("key"))
-    return F.transform(F.sort_array(F.transform(keys, place)), lambda s: s["key"])
+    return F.transform(_places(keys), lambda s: s["key"])
 
 
 def _written(value: Column, level: int, indent: int | None, depth: int) -> Column:
@@ -112,14 +124,17 @@ def _written(value: Column, level: int, indent: int | None, depth: int) -> Colum
     gap, colon = ("", ":") if indent is None else ("\n" + " " * indent * (level + 1), ": ")
     end = "" if indent is None else "\n" + " " * indent * level
 
-    # one lambda a level: the analyzer takes some rounds for each
-    held, items = as_map(value), as_array(value)
-    fields = F.transform(in_order(F.map_keys(held)), lambda k: F.struct(F.concat(quoted(k), F.lit(colon)).alias("name"), F.element_at(held, k).alias("value")))
-    plain = F.transform(items, lambda x: F.struct(F.lit("").alias("name"), x.alias("value")))
-    texts = F.transform(F.coalesce(fields, plain), lambda s: F.concat(s["name"], _written(s["value"], level + 1, indent, depth)))
-    left, right = (F.when(held.isNotNull(), a).otherwise(b) for a, b in (("{", "["), ("}", "]")))
-    whole = F.concat(left, F.lit(gap), F.array_join(texts, f",{gap}"), F.lit(end), right)
-    return F.when(F.coalesce(F.size(held), F.size(items)) > 0, whole).when(held.isNotNull(), "{}").when(items.isNotNull(), "[]").otherwise(_scalar(value))
+    def shaped(s: Column) -> Column:
+        held, items = s["held"], s["items"]
+        fields = F.transform(_places(F.map_keys(held)), lambda k: F.struct(F.concat(quoted(k["key"]), F.lit(colon)).alias("name"), F.map_values(held)[k["at"]].alias("value")))
+        plain = F.transform(items, lambda x: F.struct(F.lit("").alias("name"), x.alias("value")))
+        texts = F.transform(F.coalesce(fields, plain), lambda x: F.concat(x["name"], _written(x["value"], level + 1, indent, depth)))
+        left, right = (F.when(held.isNotNull(), a).otherwise(b) for a, b in (("{", "["), ("}", "]")))
+        whole = F.concat(left, F.lit(gap), F.array_join(texts, f",{gap}"), F.lit(end), right)
+        return F.when(F.coalesce(F.size(held), F.size(items)) > 0, whole).when(held.isNotNull(), "{}").when(items.isNotNull(), "[]").otherwise(_scalar(value))
+
+    # both are taken out once: within a lambda nothing is computed in common
+    return let(F.struct(as_map(value).alias("held"), as_array(value).alias("items")), shaped)
 
 
 def canonical_json(text: Column, indent: int | None = None, depth: int = DEPTH) -> Column:
